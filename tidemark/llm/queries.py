@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import contaminated
+from .mixing import mix
 from .neardup import near_duplicates
+from .pii import pseudonymise
+
+#: The key of registered queries; a real run takes its own from a secret store.
+KEY = "tidemark"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +21,23 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), KEY).select("doc_id", "n_pii", "pii_kinds", "text")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_neardup": op3_neardup,
+    "op5_pii": op5_pii,
+    "op10_mixing": op10_mixing,
 }
 
 #: DuckDB: a text's words, then its distinct shingles; A-Z alone become a-z.
@@ -28,7 +49,35 @@ shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
          ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM words)"""
 
+#: DuckDB: the shares of a period of 1000 slots, and the earliest-deadline-first choice at each slot, one by one.
+_PERIOD = """
+units AS (SELECT source, greatest(floor(1000 * sqrt(count(*)::DOUBLE))::BIGINT, 1) AS u FROM documents GROUP BY source),
+quota AS (SELECT source, 1 + (u * (1000 - count(*) OVER ())) // sum(u) OVER ()::BIGINT AS base, (u * (1000 - count(*) OVER ())) % sum(u) OVER ()::BIGINT AS over_ FROM units),
+share AS (SELECT source, (base + (row_number() OVER (ORDER BY over_ DESC, source NULLS FIRST) <= 1000 - sum(base) OVER ())::INT)::BIGINT AS share FROM quota),
+srcs AS (SELECT list(source ORDER BY source NULLS FIRST) AS s, list(share ORDER BY source NULLS FIRST) AS a FROM share),
+sim AS (
+  SELECT 0 AS t, list_transform(a, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS pick FROM srcs
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, i: d + (i = p)::INT), p
+  FROM (SELECT t, done, list_min(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN (done[i] * 1000) // a[i] <= t
+               THEN (((done[i] + 1) * 1000 + a[i] - 1) // a[i]) * 1000000 + i END)) % 1000000 AS p FROM sim, srcs WHERE t < 1000)),
+plan AS (SELECT s[pick] AS source, a[pick] AS share, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS ordinal FROM sim, srcs WHERE pick IS NOT NULL)"""
+
 SQL = {
+    "op1_decontamination": rf"""
+WITH {_SHINGLES},
+item_words AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+item_shingles AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 5 THEN [] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM item_words),
+sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id),
+hits AS (SELECT doc_id, item_id, count(*) AS i FROM shingles JOIN item_shingles USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_item, i AS n_shared, i / n AS containment FROM hits JOIN sizes USING (item_id) WHERE 100 * i >= 80 * n""",
+    "op10_mixing": f"""
+WITH RECURSIVE {_PERIOD},
+ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS r FROM documents),
+blocks AS (SELECT doc_id, source, r // 16 AS block, (r % 16)::INT AS place FROM ranked)
+SELECT doc_id, b.source, share, block, place, (block * 1000) // share AS release, ((block + 1) * 1000 + share - 1) // share AS deadline, (block // share) * 1000 + slot AS slot
+FROM blocks b JOIN plan p ON p.source IS NOT DISTINCT FROM b.source AND p.ordinal = block % share""",
     "op3_neardup": rf"""
 WITH RECURSIVE {_SHINGLES},
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
