@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import html, media, quality, toxicity
 from .decontam import contaminated
 from .mixing import mix
 from .neardup import near_duplicates
@@ -43,12 +43,20 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), KEY).select("doc_id", "n_pii", "pii_kinds", "text")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
     return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -58,7 +66,9 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_neardup": op3_neardup,
     "op6_quality": op6_quality,
+    "op4_html": op4_html,
     "op5_pii": op5_pii,
+    "op8_media": op8_media,
     "op10_mixing": op10_mixing,
 }
 
