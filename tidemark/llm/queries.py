@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, media, quality, toxicity
+from . import html, lm, media, quality, tokencounts, toxicity
 from .decontam import contaminated
 from .mixing import mix
 from .neardup import near_duplicates
 from .pii import pseudonymise
+from .runtime import Scratch, shared_dir
+
+#: Where the vocabulary files of public tokenizers lie on the driver, and the splitting pattern of byte-level BPE.
+TOKENIZERS = "/opt/tokenizers"
+BYTE_BPE = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: The key of registered queries; a real run takes its own from a secret store.
 KEY = "tidemark"
@@ -53,10 +60,23 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op7_tokencounts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    versions = {"byte_bpe_50k": (f"{tokenizers}/byte_bpe_50k.tiktoken", BYTE_BPE), "words_1": (None, r"[^\x20\x09-\x0D]+")}
+    counts = Scratch(spark, "tokencounts").write(tokencounts.counted(table(spark, sf_dir, "documents"), versions), "counts")
+    ledger = tokencounts.Ledger(spark, f"{shared_dir(spark)}/tidemark/ledger-{uuid.uuid4().hex}")
+    for version in versions:
+        ledger.apply(f"load {version}", tokencounts.deltas(inserted=counts.where(F.col("tokenizer") == version)))
+    return ledger.totals()
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -68,7 +88,9 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op4_html": op4_html,
     "op5_pii": op5_pii,
+    "op7_tokencounts": op7_tokencounts,
     "op8_media": op8_media,
+    "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
 }
 
