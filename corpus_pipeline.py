@@ -1,11 +1,64 @@
-"""The corpus pipeline: STAGES in order, each over the whole table the one before it kept."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, personal data, mixing.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns what it keeps of docs, all of it, with the
+columns of docs (the last one adds the schedule).  Each result is written as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import toxicity
+from tidemark.llm.decontam import without_contaminated
+from tidemark.llm.mixing import mix
+from tidemark.llm.neardup import near_duplicates
+from tidemark.llm.pii import pseudonymise
+from tidemark.llm.queries import KEY, table
+from tidemark.llm.runtime import Scratch
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't among ``rejected``; a doc_id of null stays."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from all labels, doesn't reject (score below 0.3)."""
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return _without(docs, toxicity.score(docs, lexicon).where("score >= 0.3"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity 0.8): that with the smallest doc_id."""
+    return _without(docs, near_duplicates(docs, percent=80).where("NOT kept"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items (containment 0.8)."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by pseudonyms; n_chars follows the text."""
+    return pseudonymise(docs, KEY).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their places in the mixture of sources."""
+    return mix(docs)
+
+
+STAGES = [("toxicity", clean), ("neardup", distinct), ("decontamination", decontaminated), ("pii", private), ("mixing", mixed)]
+
+#: Toxicity is learned, so the rows of the pipeline aren't expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
-    raise NotImplementedError
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
