@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import relational, retrieval
+
+QUERIES = retrieval.QUERIES | relational.QUERIES
+SQL = retrieval.SQL | relational.SQL
