@@ -32,16 +32,21 @@ def shuffle_key(seed: str) -> Column:
 def period(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(source, share, ordinal, slot, release, deadline): one period of the schedule, ``slots`` rows.
 
-    ``shares`` has source and units (a whole number above 0).  Each source gets one slot, the others go by units, with
-    largest remainders (ties: by source).  More sources than slots raise an error.
+    ``shares`` has source and units (a whole number above 0).  A source whose weight is below one slot gets one, the others
+    share the rest by units with largest remainders (ties: by source; slots that the small ones took too many come off
+    the largest source).  More sources than half the slots raise an error.
     """
     total = Window.partitionBy()
-    few = shares.withColumn("n", F.count("*").over(total)).withColumn("sum", F.sum("units").over(total))
-    free = F.when(F.col("n") > slots, F.raise_error(F.lit(f"more sources than the {slots} slots of a period"))).otherwise(F.lit(slots) - F.col("n"))
-    few = few.withColumn("free", free.cast("long")).withColumn("base", F.expr("1 + (units * free) div sum")).withColumn("over", F.expr("(units * free) % sum"))
+    few = shares.withColumn("n", F.count("*").over(total)).withColumn("tiny", F.col("units") * slots < F.sum("units").over(total))
+    most = F.when(F.col("n") > max(slots // 2, 1), F.raise_error(F.lit(f"more sources than half the {slots} slots of a period"))).otherwise(F.lit(slots))
+    few = few.withColumn("free", (most - F.count_if("tiny").over(total)).cast("long")).withColumn("sum", F.sum(F.when(~F.col("tiny"), F.col("units"))).over(total))
+    few = few.withColumn("base", F.when(F.col("tiny"), F.lit(1)).otherwise(F.greatest(F.expr("(units * free) div sum"), F.lit(1))).cast("long"))
+    few = few.withColumn("over", F.when(F.col("tiny"), F.lit(-1)).otherwise(F.expr("(units * free) % sum")).cast("long"))
     few = few.withColumn("left_over", F.lit(slots) - F.sum("base").over(total))
     by_rest = Window.orderBy(F.desc("over"), F.asc_nulls_first("source"))
-    few = few.withColumn("share", (F.col("base") + (F.row_number().over(by_rest) <= F.col("left_over")).cast("long")).cast("long"))
+    by_size = Window.orderBy(F.desc("base"), F.asc_nulls_first("source"))
+    back = F.when((F.col("left_over") < 0) & (F.row_number().over(by_size) == 1), F.col("left_over")).otherwise(F.lit(0))
+    few = few.withColumn("share", (F.col("base") + (F.row_number().over(by_rest) <= F.col("left_over")).cast("long") + back).cast("long"))
     one = few.agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("s"))
 
     m = F.lit(slots).cast("long")

@@ -19,7 +19,7 @@ ROUNDS = 10
 
 #: The formats, as Java regular expressions; the first that fits at a place counts.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])"
+SECRET = r"(?<![\p{L}\p{N}])(?:(?=[0-9]{0,127}[a-f])[0-9a-f]{32,128}|(?=[0-9]{0,127}[A-F])[0-9A-F]{32,128})(?![\p{L}\p{N}])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 PHONE = r"(?<![\p{L}\p{N}.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}]|[.-]\d)|(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\p{L}\p{N}])"
 CARD = r"(?<![\p{L}\p{N}.-])(?:\d{13,19}|(?:\d{4}[ -]){3}\d{4}(?:[ -]?\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\p{L}\p{N}]|[.-]\d)"

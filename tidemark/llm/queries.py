@@ -106,8 +106,11 @@ shingles AS (
 #: DuckDB: the shares of a period of 1000 slots, and the earliest-deadline-first choice at each slot, one by one.
 _PERIOD = """
 units AS (SELECT source, greatest(floor(1000 * sqrt(count(*)::DOUBLE))::BIGINT, 1) AS u FROM documents GROUP BY source),
-quota AS (SELECT source, 1 + (u * (1000 - count(*) OVER ())) // sum(u) OVER ()::BIGINT AS base, (u * (1000 - count(*) OVER ())) % sum(u) OVER ()::BIGINT AS over_ FROM units),
-share AS (SELECT source, (base + (row_number() OVER (ORDER BY over_ DESC, source NULLS FIRST) <= 1000 - sum(base) OVER ())::INT)::BIGINT AS share FROM quota),
+small AS (SELECT *, u * 1000 < sum(u) OVER () AS tiny FROM units),
+free AS (SELECT *, 1000 - count(*) FILTER (tiny) OVER () AS f, sum(u) FILTER (NOT tiny) OVER ()::BIGINT AS s FROM small),
+quota AS (SELECT source, CASE WHEN tiny THEN 1 ELSE greatest((u * f) // s, 1) END AS base, CASE WHEN tiny THEN -1 ELSE (u * f) % s END AS over_ FROM free),
+share AS (SELECT source, (base + (row_number() OVER (ORDER BY over_ DESC, source NULLS FIRST) <= 1000 - sum(base) OVER ())::INT
+  + CASE WHEN row_number() OVER (ORDER BY base DESC, source NULLS FIRST) = 1 THEN least(1000 - sum(base) OVER (), 0) ELSE 0 END)::BIGINT AS share FROM quota),
 srcs AS (SELECT list(source ORDER BY source NULLS FIRST) AS s, list(share ORDER BY source NULLS FIRST) AS a FROM share),
 sim AS (
   SELECT 0 AS t, list_transform(a, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS pick FROM srcs
