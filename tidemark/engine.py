@@ -83,6 +83,8 @@ class Engine:
         log = self.log()
         kept = changelog.latest(log, ["store", "collection", "key"], "offset", tombstone=F.col("deleted"))
         before, path = log.count(), f"{self.path}/log"
+        if not before:
+            return 0
         staged = f"{self.path}/compacted-{uuid.uuid4().hex[:8]}"
         kept.repartition("store").sortWithinPartitions("collection", "key").write.parquet(f"{staged}/{self.last_offset():018d}-all")
         jvm = self.spark.sparkContext._jvm
@@ -93,6 +95,27 @@ class Engine:
         fs.delete(old, True)
         return before - self.log().count()
 
+    def snapshot(self) -> int:
+        """Write the offset up to which the log has been folded; the number."""
+        last = self.last_offset()
+        self.spark.createDataFrame([(last, now_ms())], "last_offset long, ts_ms long").coalesce(1).write.mode("overwrite").json(f"{self.path}/snapshot")
+        return last
+
+    def retain(self, commits: int) -> int:
+        """Of the commits that the snapshot and later rewrites no longer need, keep the newest ``commits``; how many went.
+
+        The log is the store here, so nothing goes before `compact` has rewritten it: only commits below the newest rewrite.
+        """
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = sorted(str(s.getPath().getName()) for s in fs.listStatus(folder)) if fs.exists(folder) else []
+        whole = max((i for i, n in enumerate(names) if n.endswith("-all")), default=0)
+        old = names[: min(whole, max(len(names) - commits, 0))]
+        for n in old:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{n}"), True)
+        return len(old)
+
     # hybrid
 
     def meta(self, request: Mapping) -> DataFrame:

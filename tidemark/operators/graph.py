@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import IndexSettings
+from ..session import ship
 from . import search
 
 NEAR = 0.98
@@ -40,6 +41,7 @@ def prune(order: np.ndarray, similarity: np.ndarray, degree: int) -> list[int]:
 def build(items: DataFrame, settings: IndexSettings) -> DataFrame:
     """(part, id, vector, neighbours, entry): each subgraph of about SUBGRAPH items; ``entry`` marks its medoid."""
     s = settings.clamped()
+    ship(items.sparkSession)
     parts = max(1, -(-items.count() // SUBGRAPH))
 
     def run(_, frame: pd.DataFrame) -> pd.DataFrame:

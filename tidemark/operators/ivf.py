@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import IndexSettings
 from ..functions import vectors as V
+from ..session import ship
 from . import search
 
 SEED = 0xDEADBEEF
@@ -67,6 +68,7 @@ def assign(items: DataFrame, centroids: DataFrame) -> DataFrame:
 
     The centroids are a bounded set (the setting's number of clusters); they go out once and meet items in matrix products.
     """
+    ship(items.sparkSession)
     rows = centroids.orderBy("cluster").collect()
     shared = items.sparkSession.sparkContext.broadcast((np.array([r.cluster for r in rows]), _unit(np.array([r.centroid for r in rows], dtype=np.float64))))
 

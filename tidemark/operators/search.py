@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import ship
 
 
 def literal(vector: Sequence[float]) -> Column:
@@ -40,6 +41,7 @@ def batch(items: DataFrame, queries: pd.DataFrame, k: int, metric: str = "cosine
     with a block; a task keeps k items per query, and the final k come from those.
     """
     spark = items.sparkSession
+    ship(spark)
     out = None
     for at in range(0, len(queries), block):
         part = queries.iloc[at : at + block]

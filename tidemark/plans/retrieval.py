@@ -338,6 +338,39 @@ def event_stream_fold(spark, d):
     return S.fold(spark, f"{at}/log", f"{at}/state", f"{at}/checkpoint").select("key", "value", "offset")
 
 
+@query()
+def event_ttl_stream(spark, d):
+    """Expiry as a stream: every key's timer is set by its last put; here all times have passed, so each live key with an
+    expiry ends with one deletion of reason ttl.  The stream runs until its timers have fired."""
+    import time
+
+    from ..streaming import state as S
+
+    at = _folder(spark, "ttl")
+    changes = state_of(spark, d).select("offset", "ts_ms", F.lit("state_updated").alias("type"), F.to_json(F.struct("key", "value", "expires_at_ms")).alias("data"))
+    due = changes.where(F.get_json_object("data", "$.expires_at_ms").isNotNull()).count()
+    E.append(changes, f"{at}/log")
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKS)
+    try:
+        out = S.expired(E.state_changes(E.stream(spark, f"{at}/log")))
+        running = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(processingTime="1 second").start()
+        schema = "key string, type string, reason string, expired_at_ms long"
+        end = time.time() + 120
+        while running.isActive and time.time() < end:
+            time.sleep(1)
+            try:
+                if spark.read.schema(schema).parquet(f"{at}/out").count() >= due:
+                    break
+            except Exception as e:  # nothing has been written yet
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+        running.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    return spark.read.schema(schema).parquet(f"{at}/out")
+
+
 # documents and indexes
 
 _DOCS = """docs AS (SELECT doc_id AS id, lang, source, n_chars FROM documents)"""

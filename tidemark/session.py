@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import site
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -22,3 +27,22 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for key, value in (DEFAULTS | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable for Python workers, once a session: where it is neither installed nor on their path (the
+    driver's folder or PYTHONPATH), Spark's file server hands out a zip of it."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()]
+    if root in known or getattr(context, "_tidemark_shipped", False):
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "tidemark.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for at, _, names in os.walk(os.path.join(root, "tidemark")):
+                for name in names:
+                    if name.endswith(".py"):
+                        out.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), root))
+        context.addPyFile(path)
+    context._tidemark_shipped = True

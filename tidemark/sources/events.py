@@ -37,6 +37,12 @@ def filtered(log: DataFrame, types: str | Sequence[str] | None = None, key_prefi
     return out
 
 
+def ring(log: DataFrame, capacity: int, since: int = 0) -> DataFrame:
+    """What a bounded buffer of the newest ``capacity`` events still holds after ``since``; a reader that is further behind has
+    a gap."""
+    return log.orderBy(F.desc("offset")).limit(max(capacity, 16)).where(F.col("offset") > since)
+
+
 def append(log: DataFrame, path: str) -> None:
     """Add events (SCHEMA) as JSON lines."""
     log.select("offset", "ts_ms", "type", "data").write.mode("append").json(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import changelog
+from ..session import ship
 from ..sources import events
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -21,7 +22,7 @@ class _Gap(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "offset long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         offsets = sorted(int(o) for frame in rows for o in frame["offset"])
         last = self.last.get()[0] if self.last.exists() else None
         found = []
@@ -31,7 +32,8 @@ class _Gap(StatefulProcessor):
             last = o if last is None else max(last, o)
         if last is not None:
             self.last.update((last,))
-        yield pd.DataFrame(found, columns=["log", "from_offset", "to_offset", "dropped"])
+        if found:
+            yield pd.DataFrame(found, columns=["log", "from_offset", "to_offset", "dropped"])
 
     def close(self) -> None:
         pass
@@ -39,6 +41,7 @@ class _Gap(StatefulProcessor):
 
 def gaps(stream: DataFrame, log: str = "log") -> DataFrame:
     """Holes in the offsets of each ``log`` as they pass by, across batches.  Needs ROCKS as state store."""
+    ship(stream.sparkSession)
     return stream.select(log, "offset").groupBy(log).transformWithStateInPandas(_Gap(), "log string, from_offset long, to_offset long, dropped long", "Append", "None")
 
 
@@ -49,7 +52,7 @@ class _Expiry(StatefulProcessor):
         self.handle = handle
         self.expires = handle.getValueState("expires", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         changes = pd.concat(list(rows)).sort_values("offset")
         last = changes.iloc[-1]
         if self.expires.exists():
@@ -59,10 +62,10 @@ class _Expiry(StatefulProcessor):
             at = int(last["expires_at_ms"])
             self.expires.update((at,))
             self.handle.registerTimer(at)
-        yield pd.DataFrame({"key": [], "type": [], "reason": [], "expired_at_ms": []})
+        yield from ()
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        at = expired.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
         self.expires.clear()
         yield pd.DataFrame({"key": [key[0]], "type": ["state_deleted"], "reason": ["ttl"], "expired_at_ms": [at]})
 
@@ -73,6 +76,7 @@ class _Expiry(StatefulProcessor):
 def expired(changes: DataFrame) -> DataFrame:
     """A ``state_deleted`` event with reason ``ttl`` for each key whose time has come.  ``changes`` is a stream of
     `sources.events.state_changes`; a later put without expiry, or a delete, takes the timer back.  Needs ROCKS."""
+    ship(changes.sparkSession)
     return changes.groupBy("key").transformWithStateInPandas(_Expiry(), "key string, type string, reason string, expired_at_ms long", "Append", "ProcessingTime")
 
 
