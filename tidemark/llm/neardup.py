@@ -1,19 +1,24 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
-1. Each text becomes its set of word shingles (64-bit fingerprints); the ``k`` smallest are its sketch.  Texts with the
-   same set form a class, and only the class with its smallest id goes on.
-2. Inverted lists over retained values generate overlaps.  Two sets of Jaccard similarity ``threshold`` share at least
-   ``_required`` retained values, so it is enough to list each sketch under its rarest ``size - required + 1`` values
-   (rarest by the count over all sketches): one of them must be shared.  Values that one sketch alone retains need no
-   list, and passages that many documents share fall behind the rarer values.
-3. First each listed class meets the smallest class of its list (and size band) only.  The verified links are contracted
-   to components, then the members of a list that are still in different components are compared.  A family of copies
-   thus costs a number of pairs in proportion to its size, and nothing is capped.
-4. The union sketch (the k smallest values of both) estimates the similarity; estimates clearly below the threshold are
+1. Each text becomes its set of word shingles (64-bit fingerprints); the k smallest are its sketch.  Texts with the same
+   set form a class, and only the class's smallest id goes on.
+2. Inverted lists over retained values generate overlaps, in two steps.  First, sketches of ``FIRST`` values: a set that
+   has a partner shares at least `_required` of them with it, so sets with fewer values that occur twice at all go no
+   further.  Then, sketches of ``K`` values of the rest: two similar sets share at least `_required` values, so it is
+   enough to list a sketch under its rarest ``size - required + 1`` values.  Values that one sketch alone holds need no
+   list, and passages that many documents share fall behind rarer values.
+3. Members of a list are compared if neither their sizes, nor their places in the list (values before the first common one
+   are in one of the sets alone), nor their parity bitmaps rule the threshold out; all three are certain.  Two bitmaps,
+   in which each fingerprint flips a bit, differ in at most as many bits as the sets differ in members.
+   Within a list, first each member meets the next one in a hashed order (two rounds), which costs a pair for each entry
+   of the list.  The verified links are contracted to components.  Then the members that aren't in the list's largest
+   component meet all members of other components.  So a family of thousands of near copies costs pairs in proportion
+   to its size, nothing is capped, and no link between components is lost.
+4. The union sketch (the smallest values of both) estimates the similarity; estimates clearly below the threshold are
    dropped; the rest is verified on the full sets.
 
-The chance to miss a link lies in steps 2 and 4 only and is that of a binomial tail: below 1e-6 for each pair exactly at
-the threshold with k = 64, and smaller above it; sets of at most k shingles are handled without any such chance.
+Chance can lose a link in steps 2 and 4 only; `_floor` holds it below exp(-14), 1e-6, in each for a pair exactly at the
+threshold, and less above it.  For sets of at most ``K`` shingles step 2's second part is exact.
 """
 
 from __future__ import annotations
@@ -24,19 +29,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import Scratch, texts, tune
 from .shingles import WIDTH, shingle_sets
 
-K = 64
-#: How far below the threshold the share of common retained values, and its estimate, may fall by chance.
-SLACK = 0.3
+#: Sizes of the sketches: that rules most documents out, that of the inverted lists, that of the estimate.
+FIRST, K, ESTIMATE = 32, 512, 64
+#: Longs of a set's parity bitmap.
+LONGS = 16
+#: The exponent of the chance to lose a pair.
+SURE = 14.0
+#: Members of a list that are ordered together; longer lists are split by a hash of the document.
+TOGETHER = 4096
+
+
+def _floor(percent: int, k: int) -> int:
+    """The share of k independent draws, each a hit with a chance of percent%, that they miss with exp(-SURE) at most
+    (Chernoff's bound), times k."""
+    p, low, high = percent / 100, 0.0, percent / 100
+    if p >= 1:
+        return k
+    for _ in range(60):
+        x = (low + high) / 2
+        far = x * math.log(max(x, 1e-300) / p) + (1 - x) * math.log((1 - x) / (1 - p))
+        low, high = (x, high) if far * k >= SURE else (low, x)
+    return max(1, math.floor(low * k))
+
+
+def _required(percent: int, k: int) -> Column:
+    """Retained values that a set of n shingles has in common with every set at least this similar.
+
+    Up to percent% of k, both sets are whole in their sketches: percent% of n.  Above, by chance; a set of at most k
+    shingles and a larger partner have more than that in common for certain.
+    """
+    whole = k * percent // 100
+    return F.when(F.col("n") <= whole, F.expr(f"(n * {percent} + 99) div 100")).otherwise(F.lit(_floor(percent, k)).cast("long"))
 
 
-def _sketches(k: int, width: int):
+def _sketches(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("sk", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,123 +78,159 @@ def _sketches(k: int, width: int):
             for s in shingle_sets(batch.column("text"), width):
                 sizes.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                sketches.append(s[:k].view(np.int64))
+                sketches.append(s[:FIRST].view(np.int64))
             yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def _packed_sets(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("s", pa.binary())])
+def _parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap of 64 * LONGS bits in which every fingerprint flips one."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * LONGS - 1), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _sets(width: int):
+    """The whole set (8 bytes for each fingerprint, ascending), its sketch and its bitmap."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.binary()), ("sk", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), width)], pa.binary())], schema=schema)
+            sets = list(shingle_sets(batch.column("text"), width))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([s[:K].view(np.int64) for s in sets], [_parity(s) for s in sets])]
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *lists], schema=schema)
 
     return run
 
 
 def _verified(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("united", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = ([], [], [], [])
+            left, right = [], []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "s_a", "s_b")), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                united = len(x) + len(y) - shared
-                if 100 * shared >= percent * united:
-                    for column, value in zip(rows, (a, b, shared, united), strict=True):
-                        column.append(value)
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in rows], schema=schema)
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    left.append(a)
+                    right.append(b)
+            yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=schema)
 
     return run
 
 
-def _required(percent: int, k: int):
-    """Retained values that a set of n shingles has in common with every set at least this similar.
-
-    Both sets whole in their sketches (n of at most percent% of k): percent% of n, for certain.  Else that share less
-    the slack for chance; a set of at most k shingles and a truncated partner share more than that for certain.
-    """
-    whole = math.floor(k * percent / 100)
-    return F.when(F.col("n") <= whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(math.floor(k * (percent / 100 - SLACK))).cast("long"))
-
-
-def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFrame:
+def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose union sketch doesn't rule the threshold out."""
-    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sk").alias(f"sk_{x}"), F.col("n").alias(f"n_{x}"))
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.slice("sk", 1, ESTIMATE).alias(f"sk_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     # fingerprints are unsigned numbers in signed columns, so the upper half comes after the lower one
     order = F.transform(F.array_union("sk_a", "sk_b"), lambda v: F.struct((v < 0).alias("top"), v.alias("v")))
-    known = F.transform(F.slice(F.array_sort(order), 1, k), lambda x: x["v"])
-    both = both.select("a", "b", "n_a", "n_b", known.alias("known"), F.array_intersect("sk_a", "sk_b").alias("common"))
-    share = F.size(F.array_intersect("known", "common")) / F.size("known")
-    low = F.when((F.col("n_a") <= k) & (F.col("n_b") <= k) & (F.size("known") < k), F.lit(percent / 100 - 1e-9)).otherwise(F.lit(percent / 100 - SLACK))
-    return both.where(share >= low).select("a", "b")
+    known = F.transform(F.slice(F.array_sort(order), 1, ESTIMATE), lambda x: x["v"])
+    both = both.select("a", "b", known.alias("known"), F.array_intersect("sk_a", "sk_b").alias("common"))
+    # sets smaller than the sketch are known whole: their share is the similarity itself
+    share, size = F.size(F.array_intersect("known", "common")), F.size("known")
+    return both.where(F.when(size < ESTIMATE, 100 * share >= percent * size).otherwise(share >= _floor(percent, ESTIMATE))).select("a", "b")
 
 
-def _check(pairs: DataFrame, docs: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    packed = scratch.write(docs.join(needed, "doc_id", "left_semi").mapInArrow(_packed_sets(width), "doc_id long, s binary"), "sets")
-    side = lambda x: packed.select(F.col("doc_id").alias(x), F.col("s").alias(f"s_{x}"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(percent), "a long, b long, shared long, united long")
-    out = scratch.write(found.select("a", "b"), "found")
-    scratch.drop(packed)
+    likely = scratch.write(_estimated(pairs, sets, percent), "likely")
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s_{x}"))
+    found = likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(percent), "a long, b long")
+    out = scratch.write(found.distinct(), "found")
+    scratch.drop(likely)
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = K, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_links) for each row of ``docs`` (doc_id, text; other columns ignored).
+BITS = [f"b{i}" for i in range(LONGS)]
+
+
+def _near(percent: int, x: str, y: str) -> Column:
+    """Whether the members ``x`` and ``y`` (prefixes of column names) of a list can be similar enough."""
+    n_x, n_y = F.col(f"{x}n"), F.col(f"{y}n")
+    sizes = (100 * n_x >= percent * n_y) & (100 * n_y >= percent * n_x)
+    shared = F.expr(f"({percent} * ({x}n + {y}n) + {99 + percent}) div {100 + percent}")
+    needed = F.when((n_x <= K) & (n_y <= K), shared).otherwise(F.lit(_floor(percent, K)))
+    places = F.least(F.least(n_x, F.lit(K)) - F.col(f"{x}pos"), F.least(n_y, F.lit(K)) - F.col(f"{y}pos")) >= needed
+    differ = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in BITS[1:]), F.bit_count(F.col(f"{x}b0").bitwiseXOR(F.col(f"{y}b0"))))
+    return sizes & places & ((100 + percent) * differ <= (100 - percent) * (n_x + n_y))
+
+
+def _labelled(lists: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The lists with each member's component, without lists that are in one component."""
+    merged = scratch.write(components(links, scratch), "merged")
+    known = lists.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    counts = known.groupBy("v").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("v")
+    return known.join(counts, "v", "left_semi")
+
+
+def _chained(lists: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs of neighbours in a hashed order of each list, within half a band of sizes; pairs within a component go."""
+    band = F.floor(F.log(F.col("n").cast("double")) / (-2 * math.log(percent / 100)) + F.lit(seed / 2)) if percent < 100 else F.col("n")
+    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("df") / TOGETHER))
+    along = Window.partitionBy("v", "band", "part").orderBy(F.xxhash64("doc_id", "v", F.lit(seed)), "doc_id")
+    names = ["doc_id", "n", "c", "pos", *BITS]
+    pairs = lists.withColumn("band", band).withColumn("part", part).withColumn("o", F.lag(F.struct(*names)).over(along)).where("o IS NOT NULL")
+    pairs = pairs.select(*names, *(F.col(f"o.{c}").alias(f"o_{c}") for c in names)).where((F.col("o_c") != F.col("c")) & _near(percent, "", "o_"))
+    return pairs.select(F.least("doc_id", "o_doc_id").alias("a"), F.greatest("doc_id", "o_doc_id").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns ignored).
 
     Two documents are linked if 100 * |intersection| >= ``percent`` * |union| of their shingle sets.  component_id is the
-    smallest doc_id reachable over links, kept whether it is the document's own, n_links the links of the document's
-    class to other classes (identical sets count as one class, not as links).
+    smallest doc_id reachable over links, kept whether it is the document's own.
     Null, empty and blank texts have no shingles and are linked with nothing.  A doc_id of null is a document of its own:
     its component_id is null and it is kept.  A repeated doc_id yields a row for each of its rows; with different texts,
-    each row follows its own text's class, and links of any of them are links of the id.
+    each row follows its own text's class, and links of any of them are links of the id.  An empty table gives an empty
+    one.
     """
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "neardup")
     docs = texts(docs)
-    sketches = scratch.write(docs.mapInArrow(_sketches(k, width), "doc_id long, n long, fp binary, sk array<long>"), "sketches")
-
+    sketches = scratch.write(docs.mapInArrow(_sketches(width), "doc_id long, n long, fp binary, sk array<long>"), "sketches")
     classes = scratch.write(sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = scratch.write(sketches.join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp"]).select("doc_id", "n", "sk", "fp"), "reps")
-    values = reps.select("doc_id", "fp", "n", F.explode("sk").alias("v"))
+
+    reps = sketches.join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi")
+    values = scratch.write(reps.select("doc_id", "n", F.explode(F.array_distinct("sk")).alias("v")), "values")
+    common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
+    likely = scratch.write(values.join(common, "v", "left_semi").groupBy("doc_id", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= _required(percent, FIRST)).select("doc_id").distinct(), "likely")
+    scratch.drop(values)
+
+    sets = scratch.write(docs.join(likely, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets(width), "doc_id long, n long, s binary, sk array<long>, bits array<long>"), "sets")
+    values = sets.select("doc_id", "n", F.explode("sk").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(common, "v").groupBy("doc_id", "fp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    alone = F.least("n", F.lit(k)) - F.size("vs")
-    prefix = F.least("n", F.lit(k)) - _required(percent, k) + 1 - alone
-    lists = scratch.write(
-        shared.select("doc_id", "n", F.explode(F.slice("vs", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("x")).select("doc_id", "n", F.col("x.v").alias("v")),
-        "lists",
-    )
-
-    fits = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
-    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100) / 2)
-    heads = lists.groupBy("v", band.alias("band")).agg(F.min(F.struct("doc_id", "n")).alias("head"))
-    first = lists.join(heads.select("v", "band", F.col("head.doc_id").alias("a"), F.col("head.n").alias("n_a")), "v").where(F.col("doc_id") != F.col("a")).where(fits("n", "n_a"))
-    first = first.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-    first = scratch.write(_estimated(scratch.write(first, "first"), reps, percent, k), "first")
-    links = _check(first, docs, percent, width, scratch)
-    merged = scratch.write(components(links.select("a", "b"), scratch), "merged")
-
-    labelled = lists.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = scratch.write(labelled, "labelled")
-    x, y = (labelled.select("v", F.col("doc_id").alias(i), F.col("n").alias(f"n_{i}"), F.col("component").alias(f"c_{i}")) for i in "ab")
-    rest = x.join(y, "v").where("a < b AND c_a <> c_b").where(fits("n_a", "n_b")).select("a", "b").distinct()
-    rest = scratch.write(_estimated(scratch.write(rest.join(first, ["a", "b"], "left_anti"), "rest"), reps, percent, k), "rest")
-    more = _check(rest, docs, percent, width, scratch)
-
-    links = links.unionByName(more)
-    merged = scratch.write(components(links.select("a", "b"), scratch), "merged")
-    counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    known = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
-    known = known.select("fp", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sketches.drop("sk").join(known, ["fp", "n"], "left")
+    shared = values.join(common, "v").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    # as many as the prefix has, less the values that no other sketch holds, which come first in it
+    size = F.least("n", F.lit(K))
+    prefix = F.size("vs") - _required(percent, K) + 1
+    lists = shared.select("doc_id", "n", (size - F.size("vs")).alias("alone"), F.posexplode(F.slice("vs", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("at", "x"))
+    lists = lists.select("doc_id", "n", F.col("x.v").alias("v"), F.col("x.df").alias("df"), (F.col("alone") + F.col("at")).alias("pos"))
+    lists = scratch.write(lists.join(sets.select("doc_id", *(F.col("bits")[i].alias(b) for i, b in enumerate(BITS))), "doc_id"), "lists")
+
+    tried, links, rest = None, None, lists.withColumn("c", F.col("doc_id"))
+    for seed in (1, 2):
+        pairs = _chained(rest, percent, seed)
+        pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = _linked(pairs, sets, percent, scratch)
+        links = found if links is None else links.union(found)
+        rest = scratch.write(_labelled(lists, links, scratch), "rest")
+
+    largest = rest.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "c")).alias("top"))
+    minor = rest.join(largest.select("v", F.col("top.c").alias("top")), "v").where("c <> top")
+    names = ["doc_id", "n", "c", "pos", *BITS]
+    x = minor.select("v", *(F.col(c).alias(f"x_{c}") for c in names))
+    y = rest.select(F.col("v").alias("y_v"), *(F.col(c).alias(f"y_{c}") for c in names))
+    pairs = x.join(y, (F.col("v") == F.col("y_v")) & (F.col("x_c") != F.col("y_c")) & _near(percent, "x_", "y_"))
+    pairs = pairs.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.union(_linked(scratch.write(pairs, "pairs"), sets, percent, scratch))
+
+    merged = scratch.write(components(links, scratch), "merged")
+    known = classes.join(merged.withColumnRenamed("node", "rep"), "rep").select("fp", "n", "component")
+    alone = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left_anti").select("fp", "n", F.col("rep").alias("component"))
+    out = sketches.drop("sk").join(scratch.write(known.union(alone), "known"), ["fp", "n"], "left")
     own = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
