@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows of a batch between the JVM and Python: with texts of some kilobytes a batch holds a few megabytes.
 ARROW_ROWS = 1024
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a Python worker's memory follows a batch and not the default of 10,000 texts."""
+    """Small Arrow batches, so that a Python worker's memory follows a batch and not the default of 10,000 texts; and the
+    package on the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -60,8 +65,15 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def clean(spark: SparkSession, hours: float) -> int:
+    """Remove tables of runs that ended long ago: folders below the shared one that haven't changed for ``hours``."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.listStatus(root) if s.getModificationTime() < (time.time() - 3600 * hours) * 1000] if fs.exists(root) else []
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
