@@ -30,8 +30,15 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8): that with the smallest doc_id."""
-    return _without(docs, near_duplicates(docs, percent=80).where("NOT kept"))
+    """One document of each group of near-duplicates (five words, similarity 0.8): that with the smallest doc_id.
+
+    Of rows that agree in doc_id and text one stays.
+    """
+    kept = _without(docs, near_duplicates(docs, percent=80).where("NOT kept"))
+    repeated = Scratch(spark, "repeated").write(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "ids")
+    if repeated.isEmpty():
+        return kept
+    return _without(kept, repeated).union(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
