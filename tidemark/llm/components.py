@@ -30,12 +30,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     partial sums and join on the node, where skewed partitions are split at run time.  Each round is a written table.
     """
     links = scratch.write(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    while True:
+    before = links.count()
+    while before:
         starred = scratch.write(_small_star(_large_star(links)), "links")
-        # the links are the same set when no row is new and the counts agree
-        same = starred.count() == links.count() and starred.join(links, ["a", "b"], "left_anti").isEmpty()
+        now = starred.count()
+        # the links are the same set when the counts agree and no row is new
+        same = now == before and starred.join(links, ["a", "b"], "left_anti").isEmpty()
         scratch.drop(links)
-        links = starred
+        links, before = starred, now
         if same:
             break
     return links.select(F.col("b").alias("node"), F.col("a").alias("component")).union(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
