@@ -67,7 +67,7 @@ def test_schedule_deviates_by_less_than_a_block(spark):
 
 def test_mixture(spark, edge, nothing):
     docs = spark.createDataFrame([(i, "big" if i % 3 else "rare" if i % 2 else None, f"t{i}") for i in range(3000)], "doc_id long, source string, text string")
-    one = mixing.mix(docs, {"big": 8, "rare": 1}, slots=10, block_rows=4, ranked=100)
+    one = mixing.mix(docs, {"big": 8, "rare": 1}, slots=10, block_rows=4, ranked=10)
     rows = one.orderBy("slot", "place").collect()
     assert len(rows) == 3000 and len({r.doc_id for r in rows}) == 3000
     # whatever the parts, the same order
@@ -79,7 +79,7 @@ def test_mixture(spark, edge, nothing):
     assert all(v == [(i // 4, i % 4) for i in range(len(v))] for v in by.values())
     first = [r for r in rows if r.slot < 100]
     assert {s: sum(r.source == s for r in first) for s in ("big", "rare", None)} == {"big": 320, "rare": 40, None: 40}
-    clash = mixing.mix(edge)
+    clash = mixing.mix(edge.selectExpr("*", "1 AS t_slots", "2 AS cell", "3 AS src", "4 AS before", "5 AS rows"))
     assert clash.count() == edge.count() and dict(clash.dtypes)["slot"] == "bigint" and {"key", "Found", "component"} <= set(clash.columns)
     assert mixing.mix(nothing).isEmpty()
 

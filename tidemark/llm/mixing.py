@@ -11,6 +11,7 @@ fold over ``slots`` steps in one row).  Every document then computes its own slo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +21,8 @@ from .runtime import fresh
 
 SLOTS = 1000
 BLOCK_ROWS = 16
-#: Rows of a source that are ranked together; a source with more rows is split by the leading digits of the shuffle key.
-RANKED = 20_000
+#: Rows that are ranked together at most, on average: a source is split by as many leading digits of the shuffle key as that takes.
+RANKED = 1000
 
 
 def shuffle_key(seed: str) -> Column:
@@ -78,30 +79,34 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, slots:
     """
     added = ["share", "block", "place", "release", "deadline", "slot"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    src, key, part, rank = fresh(docs, "src", "key", "part", "rank")
-    keyed = docs.withColumn(src, F.col("source")).withColumn(key, shuffle_key(seed))
-    rows = keyed.groupBy(src, F.substring(key, 1, 3).alias("cell")).agg(F.count("*").alias("rows"))
-    # a source's 4096 cells are joined to parts of about ``ranked`` rows; a part is a run of cells, so ranks add up
-    along = Window.partitionBy(src).orderBy("cell")
-    cells = rows.withColumn("before", F.sum("rows").over(along) - F.col("rows")).withColumn("part", F.floor(F.col("before") / ranked))
-    cells = cells.withColumn("base", F.min("before").over(Window.partitionBy(src, "part")))
-    sizes = rows.groupBy(F.col(src).alias("source")).agg(F.sum("rows").alias("rows"))
+    key, cell, before, none, src, t_none, t_src, t_slots = fresh(docs, "key", "cell", "before", "none", "src", "t_none", "t_src", "t_slots")
+    digits = max(1, math.ceil(math.log(max(docs.count() / ranked, 1), 16)))
+    # a null source is told apart by a column of its own, so that joins are by plain equality
+    keyed = docs.withColumn(key, shuffle_key(seed)).withColumn(cell, F.substring(key, 1, digits))
+    keyed = keyed.withColumn(none, F.col("source").isNull()).withColumn(src, F.coalesce(F.col("source").cast("string"), F.lit("")))
+    group = [none, src, cell]
+    rows = keyed.groupBy(*group).agg(F.count("*").alias("rows"))
+    along = Window.partitionBy(none, src).orderBy(cell)
+    cells = rows.select(*group, (F.sum("rows").over(along) - F.col("rows")).alias(before))
+    sizes = rows.groupBy(F.when(~F.col(none), F.col(src)).alias("source")).agg(F.sum("rows").alias("rows"))
     if weights is None:
         units = F.greatest(F.floor(F.sqrt(F.col("rows").cast("double")) * 1000), F.lit(1))
     else:
-        named = docs.sparkSession.createDataFrame([(k, int(v)) for k, v in weights.items()], "source string, units long")
-        sizes = sizes.join(F.broadcast(named.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name")), "left")
+        named = docs.sparkSession.createDataFrame([(k, int(v)) for k, v in weights.items()], "name string, units long")
+        sizes = sizes.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("name")), "left")
         units = F.greatest(F.coalesce("units", F.lit(1)), F.lit(1))
     table = period(sizes.select("source", units.cast("long").alias("units")), slots)
 
-    cells = cells.select(F.col(src).alias("c_src"), F.col("cell").alias("c_cell"), F.col("part").alias(part), F.col("base").alias("c_base"))
-    placed = keyed.join(cells, F.col(src).eqNullSafe(F.col("c_src")) & (F.substring(key, 1, 3) == F.col("c_cell")))
-    within = Window.partitionBy(src, part).orderBy(F.asc(key), F.asc("doc_id"))
-    placed = placed.withColumn(rank, F.col("c_base") + F.row_number().over(within) - 1).drop("c_src", "c_cell", "c_base")
-    placed = placed.withColumn("block", F.expr(f"`{rank}` div {block_rows}")).withColumn("place", (F.col(rank) % block_rows).cast("int"))
+    # the ranks within cells and the join of the cells need the same partitioning: one shuffle
+    within = Window.partitionBy(*group).orderBy(F.asc(key), F.asc("doc_id"))
+    placed = keyed.withColumn(key, F.row_number().over(within) - 1).join(cells, group)
+    placed = placed.withColumn(key, F.col(key) + F.col(before))
+    placed = placed.withColumn("block", F.expr(f"`{key}` div {block_rows}")).withColumn("place", (F.col(key) % block_rows).cast("int"))
     # one period: ``slots`` numbers, by source
-    table = table.groupBy(F.col("source").alias("t_source"), "share").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "slot"))), lambda x: x["slot"]).alias("t_slots"))
-    placed = placed.join(F.broadcast(table), F.col(src).eqNullSafe(F.col("t_source")))
+    table = table.groupBy(F.col("source").isNull().alias(t_none), F.coalesce("source", F.lit("")).alias(t_src), "share").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "slot"))), lambda x: x["slot"]).alias(t_slots)
+    )
+    placed = placed.join(F.broadcast(table), (F.col(none) == F.col(t_none)) & (F.col(src) == F.col(t_src)))
     turn, nth = F.expr(f"(block div share) * {slots}"), F.col("block") % F.col("share")
     names = [F.col(f"`{c}`") for c in docs.columns]
     return placed.select(
@@ -111,5 +116,5 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, slots:
         "place",
         F.expr(f"block * {slots} div share").alias("release"),
         F.expr(f"((block + 1) * {slots} + share - 1) div share").alias("deadline"),
-        (turn + F.get("t_slots", nth.cast("int"))).alias("slot"),
+        (turn + F.get(t_slots, nth.cast("int"))).alias("slot"),
     )
