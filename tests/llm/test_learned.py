@@ -176,3 +176,14 @@ def test_gradient_equals_differences():
         up[k][i] += 1e-5
         down[k][i] -= 1e-5
         assert abs((loss(up) - loss(down)) / 2e-5 - gradient) < 1e-3 * max(abs(gradient), 1e-2)
+
+
+def test_every_word_has_its_own_count(spark, monkeypatch):
+    texts = ["a a a b b c", "b d d d d e", "f " * 30, "g g h i j k a b"] + [" ".join(f"v{i}" for i in range(60))] * 2
+    docs = sides(spark, texts)
+    whole = [tuple(r) for r in lm.score(docs).orderBy("doc_id").collect()]
+    # whether counts come by the broadcast table or by the join, and also where one level alone passes the bound
+    for known in (0, 1, 45):
+        monkeypatch.setattr(lm, "KNOWN", known)
+        got = [tuple(r) for r in lm.score(docs).orderBy("doc_id").collect()]
+        assert [r[:2] for r in got] == [r[:2] for r in whole] and np.allclose([r[2] for r in got], [r[2] for r in whole], atol=0.02)
