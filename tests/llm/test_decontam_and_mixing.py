@@ -84,6 +84,21 @@ def test_mixture(spark, edge, nothing):
     assert mixing.mix(nothing).isEmpty()
 
 
+def test_many_sources(spark):
+    # more sources than half a period, than a period, and small ones that take more than the largest has
+    for units, slots, longer in (({f"s{i:03}": 1 + (i == 5) * 9 for i in range(8)}, 10, 10), ({f"s{i:03}": 1 + i % 3 for i in range(700)}, 1000, 1000), ({f"s{i:03}": 3 for i in range(25)}, 10, 50), ({f"s{i:03}": v for i, v in enumerate([13] * 7 + [55] * 2 + [1] * 11)}, 20, 40)):
+        frame = spark.createDataFrame(list(units.items()), "source string, units long")
+        assert mixing.enough(frame, slots) == longer
+        rows = sorted(mixing.period(frame, longer).collect(), key=lambda r: r.slot)
+        assert [r.slot for r in rows] == list(range(longer)) and {r.source for r in rows} == set(units)
+        assert all(r.release <= r.slot < r.deadline for r in rows)
+    docs = spark.range(2400).selectExpr("id AS doc_id", "concat('site', id % 600 * (id % 2)) AS source")
+    docs = docs.union(spark.range(2400, 3600).selectExpr("id", "concat('other', id)"))
+    rows = mixing.mix(docs).collect()
+    assert len({r.doc_id for r in rows}) == 3600 and len({(r.slot, r.place) for r in rows}) == 3600
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+
+
 def test_no_python_in_the_native_operators(spark, edge):
     from tidemark.llm.pii import pseudonymise
 

@@ -6,13 +6,14 @@ the earliest-deadline-first order over the released blocks meets every deadline,
 placed its fair share w * t to within less than one block.
 
 Weights are multiples of 1 / ``slots``: the schedule repeats after ``slots`` slots, and only one period is simulated (a
-fold over ``slots`` steps in one row).  Every document then computes its own slot from its rank in its source.
+fold over ``slots`` steps in one row).  Where that is too short to give every source a slot, the period is a multiple of
+``slots``.  Every document then computes its own slot from its rank in its source.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,17 +31,16 @@ def shuffle_key(seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def period(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(source, share, ordinal, slot, release, deadline): one period of the schedule, ``slots`` rows.
+def divided(shares: DataFrame, slots: int) -> DataFrame:
+    """(source, share, i): each source's slots of a period, and its number among the sources.
 
     ``shares`` has source and units (a whole number above 0).  A source whose weight is below one slot gets one, the others
     share the rest by units with largest remainders (ties: by source; slots that the small ones took too many come off
-    the largest source).  More sources than half the slots raise an error.
+    the largest source).  With too many sources for ``slots`` some shares are below 1 or null; see `enough`.
     """
     total = Window.partitionBy()
-    few = shares.withColumn("n", F.count("*").over(total)).withColumn("tiny", F.col("units") * slots < F.sum("units").over(total))
-    most = F.when(F.col("n") > max(slots // 2, 1), F.raise_error(F.lit(f"more sources than half the {slots} slots of a period"))).otherwise(F.lit(slots))
-    few = few.withColumn("free", (most - F.count_if("tiny").over(total)).cast("long")).withColumn("sum", F.sum(F.when(~F.col("tiny"), F.col("units"))).over(total))
+    few = shares.withColumn("tiny", F.col("units") * slots < F.sum("units").over(total))
+    few = few.withColumn("free", (F.lit(slots) - F.count_if("tiny").over(total)).cast("long")).withColumn("sum", F.sum(F.when(~F.col("tiny"), F.col("units"))).over(total))
     few = few.withColumn("base", F.when(F.col("tiny"), F.lit(1)).otherwise(F.greatest(F.expr("(units * free) div sum"), F.lit(1))).cast("long"))
     few = few.withColumn("over", F.when(F.col("tiny"), F.lit(-1)).otherwise(F.expr("(units * free) % sum")).cast("long"))
     few = few.withColumn("left_over", F.lit(slots) - F.sum("base").over(total))
@@ -48,19 +48,60 @@ def period(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
     by_size = Window.orderBy(F.desc("base"), F.asc_nulls_first("source"))
     back = F.when((F.col("left_over") < 0) & (F.row_number().over(by_size) == 1), F.col("left_over")).otherwise(F.lit(0))
     few = few.withColumn("share", (F.col("base") + (F.row_number().over(by_rest) <= F.col("left_over")).cast("long") + back).cast("long"))
-    one = few.agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("s"))
+    return few.select("source", "share", F.row_number().over(Window.orderBy(F.asc_nulls_first("source"))).alias("i"))
+
+
+def enough(shares: DataFrame, slots: int = SLOTS) -> int:
+    """``slots``, or the multiple of it that gives each of the sources of ``shares`` a slot at least and leaves none over."""
+    while True:
+        found = divided(shares, slots).agg(F.count("*").alias("n"), F.min("share").alias("least"), F.sum("share").alias("sum")).first()
+        if not found.n or (found.n <= slots and found.least >= 1 and found.sum == slots):
+            return slots
+        slots *= max(2, -(-2 * found.n // slots))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), f)[0]
+
+
+def period(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """(source, share, ordinal, slot, release, deadline): one period of the schedule, ``slots`` rows, `enough` for ``shares``.
+
+    Sources of equal share take turns in the order of their numbers, so the fold keeps one counter for each different share,
+    and those are fewer than sqrt(2 * slots).
+    """
+    kinds = divided(shares, slots).groupBy("share").agg(F.array_sort(F.collect_list(F.struct("i", "source"))).alias("members"))
+    one = kinds.agg(F.collect_list(F.struct("share", "members")).alias("s"))
 
     m = F.lit(slots).cast("long")
-    start = F.struct(F.transform("s", lambda _: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("picks"))
+    none = F.array().cast("array<struct<source:string,share:bigint,ordinal:bigint>>")
 
     def step(state: Column, t: Column) -> Column:
-        due = F.transform("s", lambda x, i: F.when(F.floor(state["done"][i] * m / x["share"]) <= t, F.struct(F.ceil((state["done"][i] + 1) * m / x["share"]).alias("deadline"), i.alias("i"))))
-        # null (not released) is passed over by array_min
-        return F.transform(F.array(F.array_min(due)["i"]), lambda pick: F.struct(F.transform(state["done"], lambda d, i: d + (i == pick).cast("long")).alias("done"), F.concat(state["picks"], F.array(pick)).alias("picks")))[0]
-
-    picks = F.aggregate(F.sequence(F.lit(0), F.lit(slots - 1)), start, step, lambda state: state["picks"])
-    rows = one.where(F.size("s") > 0).select("s", F.posexplode(picks).alias("slot", "i")).select(F.expr("s[i].source").alias("source"), F.expr("s[i].share").alias("share"), F.col("slot").cast("long").alias("slot"))
-    rows = rows.withColumn("ordinal", (F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1).cast("long"))
+        def due(x: Column, k: Column) -> Column:
+            done, size = state["done"][k], F.size(x["members"])
+            turn = F.floor(done / size)
+            job = F.struct(F.ceil((turn + 1) * m / x["share"]).alias("deadline"), F.get(x["members"], (done % size).cast("int")).alias("member"), x["share"].alias("share"), turn.alias("ordinal"), k.alias("k"))
+            return F.when(F.floor(turn * m / x["share"]) <= t, job)
+
+        # null (not released) is passed over by array_min; equal deadlines go by the sources' numbers
+        return _let(
+            F.array_min(F.transform("s", due)),
+            lambda job: F.struct(
+                F.transform(state["done"], lambda d, k: d + (k == job["k"]).cast("long")).alias("done"),
+                F.concat(state["picks"], F.array(F.struct(job["member"]["source"].alias("source"), job["share"].alias("share"), job["ordinal"].alias("ordinal")))).alias("picks"),
+            ),
+        )
+
+    # in pieces, as each step copies the picks of its piece
+    piece = math.isqrt(slots) + 1
+
+    def stretch(state: Column, t: Column) -> Column:
+        part = F.aggregate(F.sequence(t, F.least(t + (piece - 1), F.lit(slots - 1))), F.struct(state["done"].alias("done"), none.alias("picks")), step)
+        return _let(part, lambda x: F.struct(x["done"].alias("done"), F.concat(state["picks"], x["picks"]).alias("picks")))
+
+    start = F.struct(F.transform("s", lambda _: F.lit(0).cast("long")).alias("done"), none.alias("picks"))
+    picks = F.aggregate(F.sequence(F.lit(0), F.lit(slots - 1), F.lit(piece)), start, stretch, lambda state: state["picks"])
+    rows = one.where(F.size("s") > 0).select(F.posexplode(picks).alias("slot", "x")).select("x.source", "x.share", "x.ordinal", F.col("slot").cast("long").alias("slot"))
     return rows.withColumn("release", F.expr(f"ordinal * {slots} div share")).withColumn("deadline", F.expr(f"((ordinal + 1) * {slots} + share - 1) div share"))
 
 
@@ -68,7 +109,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, slots:
     """``docs`` (doc_id, source and any other columns) with share, block, place, release, deadline and slot.
 
     The mixed order is that of (slot, place): slot takes one block of a source, place is the document's number in its
-    block.  share is the source's slots in a period of ``slots``.  Without ``weights`` (units by source; sources that it
+    block.  share is the source's slots in a period of ``slots``, or of `enough` where there are many sources.  Without ``weights`` (units by source; sources that it
     doesn't name get one unit) a source's units are floor(1000 * sqrt(its rows)).  Within a source, documents come in the
     order of a keyed hash of doc_id, then by doc_id.
 
@@ -88,14 +129,16 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, slots:
     rows = keyed.groupBy(*group).agg(F.count("*").alias("rows"))
     along = Window.partitionBy(none, src).orderBy(cell)
     cells = rows.select(*group, (F.sum("rows").over(along) - F.col("rows")).alias(before))
-    sizes = rows.groupBy(F.when(~F.col(none), F.col(src)).alias("source")).agg(F.sum("rows").alias("rows"))
+    sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("rows"))
     if weights is None:
         units = F.greatest(F.floor(F.sqrt(F.col("rows").cast("double")) * 1000), F.lit(1))
     else:
         named = docs.sparkSession.createDataFrame([(k, int(v)) for k, v in weights.items()], "name string, units long")
         sizes = sizes.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("name")), "left")
         units = F.greatest(F.coalesce("units", F.lit(1)), F.lit(1))
-    table = period(sizes.select("source", units.cast("long").alias("units")), slots)
+    shares = sizes.select("source", units.cast("long").alias("units"))
+    slots = enough(shares, slots)
+    table = period(shares, slots)
 
     # the ranks within cells and the join of the cells need the same partitioning: one shuffle
     within = Window.partitionBy(*group).orderBy(F.asc(key), F.asc("doc_id"))
