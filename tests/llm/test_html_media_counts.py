@@ -34,6 +34,21 @@ def test_main_text(i):
     assert html.main_text(CASES[i][0]) == CASES[i][1]
 
 
+MARKED = [
+    # a teaser or a card in an article element doesn't hide the main text, and is a line like others
+    (page(f"<div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><p><a href='#'>x</a></p><p><a href='#'>y</a></p><p><a href='#'>z</a></p><article><p>Read on.</p></article>"), f"Title\n{LONG}\n{LONG}"),
+    (page(f"<article><p>Card.</p></article><div><p>{LONG}</p></div>"), f"Card.\n{LONG}"),
+    # without such elements, and with the main text in them
+    (page(f"<div><p>{LONG}</p><p>Short.</p></div><div><p>{LONG}</p></div>"), f"{LONG}\nShort.\n{LONG}"),
+    (page(f"<div>{LONG}</div><article><p>{LONG}</p><p>Short.</p></article>"), f"{LONG}\nShort."),
+]
+
+
+@pytest.mark.parametrize("i", range(len(MARKED)))
+def test_article_elements_are_weighed(i):
+    assert html.main_text(MARKED[i][0]) == MARKED[i][1]
+
+
 def test_surge_and_dive():
     assert html.kept([0, 10, 10, 0, 0, 0, 50, 40, 0, 5, 0, 0, 0, 9]) == [False] * 5 + [False, True, True, False, True, False, False, False, False]
     assert html.kept([]) == [] and html.kept([61]) == [True] and html.kept([60]) == [False]

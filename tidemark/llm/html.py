@@ -149,13 +149,16 @@ def kept(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[b
 def main_text(page: str | None) -> str:
     """The main text of a page, blocks joined by line feeds; empty if there is none.
 
-    Lines that are mostly links count as empty.  Where a page has article or main elements with text, lines outside of
-    them count as empty too, and text surges at any length, since the page itself says where it is.
+    The windows run over all lines, of which those that are mostly links count as empty.  Article and main elements
+    decide where they hold at least as much text as the windows find outside of them: then theirs is the main text, at any
+    length, and all else isn't.  Otherwise (a teaser, a related card) their lines are lines like others.
     """
     found = lines(page or "")
-    marked = any(core and not link for _, link, core in found)
-    lengths = [0 if link or marked > core else len(line) for line, link, core in found]
-    return "\n".join(line for (line, _, _), k in zip(found, kept(lengths, surge=0 if marked else SURGE), strict=True) if k)
+    by_windows = kept([0 if link else len(line) for line, link, _ in found])
+    inside = sum(len(line) for line, link, core in found if core and not link)
+    outside = sum(len(line) for (line, _, core), k in zip(found, by_windows, strict=True) if k and not core)
+    marked = inside > 0 and inside >= outside
+    return "\n".join(line for (line, link, core), k in zip(found, by_windows, strict=True) if (core and not link if marked else k))
 
 
 def extract(pages: DataFrame) -> DataFrame:
