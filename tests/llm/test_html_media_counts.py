@@ -49,6 +49,13 @@ def test_article_elements_are_weighed(i):
     assert html.main_text(MARKED[i][0]) == MARKED[i][1]
 
 
+def test_links_and_short_openings_of_the_text_stay():
+    assert html.main_text(page(f"<article><p>{LONG}</p><ul><li><a href='a'>A reference</a></li></ul><p><a href='b'>Mostly a</a> link</p></article>")) == f"{LONG}\nA reference\nMostly a link"
+    assert html.main_text(page(f"<p>One.</p><p>Two.</p><p>Three.</p><p>Four.</p><p>{LONG}</p>")) == f"One.\nTwo.\nThree.\nFour.\n{LONG}"
+    assert html.kept([9, 0, 0, 0, 8, 0, 0, 7, 1, 2, 3, 70, 0]) == [False] * 4 + [True] + [False] * 2 + [True] * 5 + [False]
+    assert html.kept([70, 0, 0, 0, 5, 5, 5, 70]) == [True, False, False, False, True, True, True, True]
+
+
 def test_surge_and_dive():
     assert html.kept([0, 10, 10, 0, 0, 0, 50, 40, 0, 5, 0, 0, 0, 9]) == [False] * 5 + [False, True, True, False, True, False, False, False, False]
     assert html.kept([]) == [] and html.kept([61]) == [True] and html.kept([60]) == [False]

@@ -132,13 +132,17 @@ def kept(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[b
     """Which lines lie between a surge point and its dive point, given the lines' lengths (0: no main text).
 
     The sum of the window that begins at a line is its block.  From a line whose block exceeds ``surge`` up to the line
-    after which blocks are 0, lines are kept.
+    after which blocks are 0, lines are kept, and so are those before it back to where a window is 0.
     """
     n = len(lengths)
     blocks = [sum(lengths[i : i + window]) for i in range(n)]
     out, i = [False] * n, 0
     while i < n:
         if blocks[i] > surge and lengths[i] > 0:
+            before = i - 1
+            while before >= 0 and not out[before] and sum(lengths[max(0, before - window + 1) : before + 1]) > 0:
+                out[before] = lengths[before] > 0
+                before -= 1
             while i < n and blocks[i] > 0:
                 out[i] = lengths[i] > 0
                 i += 1
@@ -151,14 +155,14 @@ def main_text(page: str | None) -> str:
 
     The windows run over all lines, of which those that are mostly links count as empty.  Article and main elements
     decide where they hold at least as much text as the windows find outside of them: then theirs is the main text, at any
-    length, and all else isn't.  Otherwise (a teaser, a related card) their lines are lines like others.
+    length and links too, and all else isn't.  Otherwise (a teaser, a related card) their lines are lines like others.
     """
     found = lines(page or "")
     by_windows = kept([0 if link else len(line) for line, link, _ in found])
     inside = sum(len(line) for line, link, core in found if core and not link)
     outside = sum(len(line) for (line, _, core), k in zip(found, by_windows, strict=True) if k and not core)
     marked = inside > 0 and inside >= outside
-    return "\n".join(line for (line, link, core), k in zip(found, by_windows, strict=True) if (core and not link if marked else k))
+    return "\n".join(line for (line, _, core), k in zip(found, by_windows, strict=True) if (core if marked else k))
 
 
 def extract(pages: DataFrame) -> DataFrame:
