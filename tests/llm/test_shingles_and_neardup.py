@@ -97,3 +97,71 @@ def test_components_of_a_chain_and_a_star(spark):
     got = C.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"))
     assert {(r.node, r.component) for r in got.collect()} == {(i, 100) for i in range(100, 141)} | {(i, 7) for i in range(7, 60)}
     assert got.count() == 94
+
+
+def candidates(spark, rows, percent):
+    """Pairs that are looked at, of either kind, and links found."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scratch = Scratch(spark, "t")
+    sets = scratch.write(docs.mapInArrow(neardup._sets(5), "doc_id long, n long, s array<long>, bits array<long>"))
+    lists = scratch.write(neardup._lists(sets, percent))
+    stars = scratch.write(neardup._stars(lists, percent))
+    links = neardup._linked(stars, sets, percent, scratch)
+    others = scratch.write(neardup._others(lists, neardup._labels(links), sets, percent, scratch))
+    return stars.count() + others.count(), links.count() + neardup._linked(others, sets, percent, scratch).count()
+
+
+def templated(n, draw, words=300):
+    """Documents on one template, each with 12 to 20 % of words of its own in one run at a place that varies: 0.7 to 0.84 similar."""
+    base = [f"t{i}" for i in range(words)]
+    for d in range(n):
+        own, at = draw.randint(int(words * 0.093), int(words * 0.14)), draw.randrange(0, words, 25)
+        yield d, " ".join(base[:at] + [f"d{d}x{i}" for i in range(own)] + base[at:])
+
+
+def test_a_template_costs_pairs_in_proportion(spark):
+    draw = random.Random(3)
+    few, none = candidates(spark, list(templated(250, draw)), 85)
+    many, still_none = candidates(spark, list(templated(2000, draw)), 85)
+    assert none == still_none == 0
+    assert many <= 2 * 2000 and many <= 10 * max(few, 250)
+
+
+def test_long_lists_are_dealt_without_loss(spark, monkeypatch):
+    draw = random.Random(4)
+    rows = list(templated(60, draw, 120))
+    base = " ".join(f"t{i}" for i in range(120))
+    rows += [(100 + i, base + f" end{i // 3} x") for i in range(30)] + [(200 + i, base.replace("t50 ", f"u{i} ") + " " + " ".join(f"v{i}{j}" for j in range(5))) for i in range(40)]
+    expected = brute(rows, 85)
+    for together in (4, 16):
+        monkeypatch.setattr(neardup, "TOGETHER", together)
+        found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == expected
+
+
+def test_members_that_only_resemble_their_source(spark):
+    """A source and copies that are similar enough to it but not to each other, between other families."""
+    draw = random.Random(6)
+    texts = []
+    for f in range(3):
+        base = [f"f{f}w{draw.randrange(2000)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for c in range(30):
+            at = draw.sample(range(0, 195, 5), 3)
+            texts.append(" ".join(w if not any(a <= i < a + 3 for a in at) else f"c{f}x{c}x{i}" for i, w in enumerate(base)))
+    draw.shuffle(texts)
+    rows = list(enumerate(texts))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 80)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute(rows, 80)
+
+
+def test_sampled_sketches_find_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "K", 512)
+    draw = random.Random(8)
+    texts = []
+    for _ in range(4):
+        base = draw.choices([f"w{i}" for i in range(3000)], k=1500)
+        texts += family(draw, base, 8, 0.01)
+    rows = list(enumerate(texts))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute(rows, 85)

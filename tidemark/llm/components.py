@@ -10,17 +10,21 @@ from .runtime import Scratch
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked with the node's smallest neighbour (itself included)."""
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+    least = links.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "u")
+    return links.join(least, links.a == least.u, "left").select(F.coalesce("m", "a").alias("a"), "b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked with the node's smallest neighbour."""
-    down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    near = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-    return near.union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
+    least = links.groupBy("b").agg(F.min("a").alias("m"))
+    near = links.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    return near.union(least.select(F.col("m").alias("a"), "b")).distinct()
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether no node has two smaller neighbours, or a smaller and a larger one."""
+    ends = links.selectExpr("b AS node", "1 AS up", "0 AS down").union(links.selectExpr("a AS node", "0 AS up", "1 AS down"))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -30,14 +34,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     partial sums and join on the node, where skewed partitions are split at run time.  Each round is a written table.
     """
     links = scratch.write(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    before = links.count()
-    while before:
+    while not _stars(links):
         starred = scratch.write(_small_star(_large_star(links)), "links")
-        now = starred.count()
-        # the links are the same set when the counts agree and no row is new
-        same = now == before and starred.join(links, ["a", "b"], "left_anti").isEmpty()
         scratch.drop(links)
-        links, before = starred, now
-        if same:
-            break
+        links = starred
     return links.select(F.col("b").alias("node"), F.col("a").alias("component")).union(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

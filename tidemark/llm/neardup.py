@@ -7,13 +7,16 @@
    further.  Then, sketches of ``K`` values of the rest: two similar sets share at least `_required` values, so it is
    enough to list a sketch under its rarest ``size - required + 1`` values.  Values that one sketch alone holds need no
    list, and passages that many documents share fall behind rarer values.
-3. Members of a list are compared if neither their sizes, nor their places in the list (values before the first common one
-   are in one of the sets alone), nor their parity bitmaps rule the threshold out; all three are certain.  Two bitmaps,
-   in which each fingerprint flips a bit, differ in at most as many bits as the sets differ in members.
-   Within a list, first each member meets the next one in a hashed order (two rounds), which costs a pair for each entry
-   of the list.  The verified links are contracted to components.  Then the members that aren't in the list's largest
-   component meet all members of other components.  So a family of thousands of near copies costs pairs in proportion
-   to its size, nothing is capped, and no link between components is lost.
+3. The place of a value in its sketch's order of rarity bounds the sizes that a partner met there can have (`_reach`):
+   the values before it are in one of the two sets alone.  So documents that share a template, each with a part of its own
+   that rules the threshold out, meet no partner at all: the lists cost pairs only where the sets can be similar enough.
+   A list is first compared with one member of each band of sizes, that with the smallest share of values of its own (in
+   a family, its common ancestor), which costs two pairs for each entry.  Verified links are followed for two steps, and
+   members that agree in where they lead count as one.  Then the members that aren't in the list's largest such
+   group meet the members of other groups, if sizes, places and parity bitmaps (each fingerprint flips a bit, so two
+   differ in at most as many bits as the sets differ in members) allow the threshold; all three are certain.  Lists longer
+   than ``TOGETHER`` are dealt by cells of sizes and by hashes of both sides.  Nothing is capped, and no link between
+   groups is lost.
 4. The union sketch (the smallest values of both) estimates the similarity; estimates clearly below the threshold are
    dropped; the rest is verified on the full sets.
 
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -37,13 +40,13 @@ from .runtime import Scratch, texts, tune
 from .shingles import WIDTH, shingle_sets
 
 #: Sizes of the sketches: that rules most documents out, that of the inverted lists, that of the estimate.
-FIRST, K, ESTIMATE = 32, 512, 64
+FIRST, K, ESTIMATE = 32, 4096, 128
 #: Longs of a set's parity bitmap.
 LONGS = 16
 #: The exponent of the chance to lose a pair.
 SURE = 14.0
-#: Members of a list that are ordered together; longer lists are split by a hash of the document.
-TOGETHER = 4096
+#: Members of a list that are met together; longer lists are dealt by sizes and hashes.
+TOGETHER = 1024
 
 
 def _floor(percent: int, k: int) -> int:
@@ -91,14 +94,14 @@ def _parity(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(width: int):
-    """The whole set (8 bytes for each fingerprint, ascending), its sketch and its bitmap."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.binary()), ("sk", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    """The whole set (fingerprints, ascending as unsigned numbers) and its bitmap."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column("text"), width))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([s[:K].view(np.int64) for s in sets], [_parity(s) for s in sets])]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *lists], schema=schema)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in sets], [_parity(s) for s in sets])]
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *lists], schema=schema)
 
     return run
 
@@ -109,8 +112,8 @@ def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "s_a", "s_b")), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("s_a"), batch.column("s_b"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * shared >= percent * (len(x) + len(y) - shared):
                     left.append(a)
@@ -122,7 +125,7 @@ def _verified(percent: int):
 
 def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose union sketch doesn't rule the threshold out."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.slice("sk", 1, ESTIMATE).alias(f"sk_{x}"))
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.slice("s", 1, ESTIMATE).alias(f"sk_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     # fingerprints are unsigned numbers in signed columns, so the upper half comes after the lower one
     order = F.transform(F.array_union("sk_a", "sk_b"), lambda v: F.struct((v < 0).alias("top"), v.alias("v")))
@@ -137,8 +140,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -
     """The pairs whose full sets reach the threshold."""
     likely = scratch.write(_estimated(pairs, sets, percent), "likely")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s_{x}"))
-    found = likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(percent), "a long, b long")
-    out = scratch.write(found.distinct(), "found")
+    out = scratch.write(likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(percent), "a long, b long"), "found")
     scratch.drop(likely)
     return out
 
@@ -146,34 +148,98 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -
 BITS = [f"b{i}" for i in range(LONGS)]
 
 
-def _near(percent: int, x: str, y: str) -> Column:
-    """Whether the members ``x`` and ``y`` (prefixes of column names) of a list can be similar enough."""
-    n_x, n_y = F.col(f"{x}n"), F.col(f"{y}n")
-    sizes = (100 * n_x >= percent * n_y) & (100 * n_y >= percent * n_x)
-    shared = F.expr(f"({percent} * ({x}n + {y}n) + {99 + percent}) div {100 + percent}")
-    needed = F.when((n_x <= K) & (n_y <= K), shared).otherwise(F.lit(_floor(percent, K)))
-    places = F.least(F.least(n_x, F.lit(K)) - F.col(f"{x}pos"), F.least(n_y, F.lit(K)) - F.col(f"{y}pos")) >= needed
-    differ = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in BITS[1:]), F.bit_count(F.col(f"{x}b0").bitwiseXOR(F.col(f"{y}b0"))))
-    return sizes & places & ((100 + percent) * differ <= (100 - percent) * (n_x + n_y))
+def _reach(percent: int) -> Column:
+    """The largest size of a set that can share a similarity of ``percent`` with a set of n shingles if the first value that
+    both hold, in the order of rarity, has place pos (from 0) in its sketch; below n, no set of n or more can.
 
+    Whole sets x and y share at least percent * (n_x + n_y) / (100 + percent) values, and n - pos at most.  Of sets beyond
+    ``K``, sketches share at least `_floor` values, K - pos at most.
+    """
+    left = F.least("n", F.lit(K)) - F.col("pos")
+    whole = F.when(F.col("n") <= K, F.expr(f"({100 + percent} * (n - pos)) div {percent} - n")).otherwise(F.lit(0))
+    sampled = F.when((left >= _floor(percent, K)) & (100 * F.col("n") > percent * K), F.expr(f"(100 * n) div {percent}")).otherwise(F.lit(0))
+    return F.greatest(whole, sampled)
+
+
+def _near(x: str, y: str) -> Column:
+    """Whether the members ``x`` and ``y`` (prefixes of column names) of a list are within each other's reach."""
+    return (F.col(f"{x}n") <= F.col(f"{y}reach")) & (F.col(f"{y}n") <= F.col(f"{x}reach"))
+
+
+def _differ(percent: int, x: str, y: str) -> Column:
+    """Whether the bitmaps of ``x`` and ``y`` rule the threshold out."""
+    bits = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in BITS[1:]), F.bit_count(F.col(f"{x}b0").bitwiseXOR(F.col(f"{y}b0"))))
+    return (100 + percent) * bits > (100 - percent) * (F.col(f"{x}n") + F.col(f"{y}n"))
+
+
+def _lists(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, v, df, alone, pos, reach): each set under the rarest of its retained values that others retain too.
+
+    df counts the sets that retain v, ``alone`` the document's values that no other retains; they have the first places.
+    """
+    values = sets.select("doc_id", "n", F.explode(F.slice("s", 1, K)).alias("v"))
+    common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    shared = values.join(common, "v").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    # as many as the prefix has, less the values that no other sketch holds, which come first in it
+    alone = F.least("n", F.lit(K)) - F.size("vs")
+    prefix = F.size("vs") - _required(percent, K) + 1
+    lists = shared.select("doc_id", "n", alone.alias("alone"), F.posexplode(F.slice("vs", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("at", "x"))
+    lists = lists.select("doc_id", "n", F.col("x.v").alias("v"), F.col("x.df").alias("df"), "alone", (F.col("alone") + F.col("at")).alias("pos"))
+    return lists.withColumn("reach", _reach(percent))
 
-def _labelled(lists: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """The lists with each member's component, without lists that are in one component."""
-    merged = scratch.write(components(links, scratch), "merged")
-    known = lists.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    counts = known.groupBy("v").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("v")
-    return known.join(counts, "v", "left_semi")
 
+def _stars(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each member of a list with the one of its band of sizes that has the smallest share of values alone.
 
-def _chained(lists: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Pairs of neighbours in a hashed order of each list, within half a band of sizes; pairs within a component go."""
-    band = F.floor(F.log(F.col("n").cast("double")) / (-2 * math.log(percent / 100)) + F.lit(seed / 2)) if percent < 100 else F.col("n")
-    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("df") / TOGETHER))
-    along = Window.partitionBy("v", "band", "part").orderBy(F.xxhash64("doc_id", "v", F.lit(seed)), "doc_id")
-    names = ["doc_id", "n", "c", "pos", *BITS]
-    pairs = lists.withColumn("band", band).withColumn("part", part).withColumn("o", F.lag(F.struct(*names)).over(along)).where("o IS NOT NULL")
-    pairs = pairs.select(*names, *(F.col(f"o.{c}").alias(f"o_{c}") for c in names)).where((F.col("o_c") != F.col("c")) & _near(percent, "", "o_"))
-    return pairs.select(F.least("doc_id", "o_doc_id").alias("a"), F.greatest("doc_id", "o_doc_id").alias("b")).distinct()
+    Bands are two thresholds wide, and a member is in two that overlap by half.
+    """
+    size = F.log(F.col("n").cast("double")) / (-2 * math.log(percent / 100)) if percent < 100 else F.col("n").cast("double")
+    bands = lists.withColumn("band", F.explode(F.array(F.floor(size) * 2, F.floor(size + 0.5) * 2 + 1)))
+    first = F.floor(F.greatest("alone", F.lit(0)) * 1000 / F.col("n")) * (1 << 52) + F.xxhash64("doc_id").bitwiseAND((1 << 52) - 1)
+    bands = bands.withColumn("first", first)
+    tops = bands.groupBy("v", "band").agg(*(F.min_by(c, "first").alias(f"o_{c}") for c in ("doc_id", "n", "reach")), F.count("*").alias("m")).where("m > 1")
+    pairs = bands.join(tops.drop("m"), ["v", "band"]).where((F.col("doc_id") != F.col("o_doc_id")) & _near("", "o_"))
+    return pairs.select(F.col("doc_id").alias("a"), F.col("o_doc_id").alias("b")).distinct()
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    """(doc_id, c): where two steps over links to list heads lead; equal c means linked in the end."""
+    up = stars.groupBy("a").agg(F.min("b").alias("b"))
+    return up.join(up.select(F.col("a").alias("b"), F.col("b").alias("top")), "b", "left").select(F.col("a").alias("doc_id"), F.coalesce("top", "b").alias("c"))
+
+
+def _dealt(members: DataFrame, side: str, percent: int, low: Column, high: Column) -> DataFrame:
+    """Members of lists with the cells of the list in which they are met.
+
+    A list of up to TOGETHER is one cell.  The cells of a longer one are bands of sizes, from that of ``low`` to that of
+    ``high``, by parts of the first side (``x``) by parts of the second; a member goes to its part of its own side and to
+    all of the other.
+    """
+    long = F.col("df") > TOGETHER
+    parts = F.ceil(F.col("df") / TOGETHER).cast("int")
+    step = -math.log(percent / 100) / 2 if percent < 100 else 1e-3
+    band = lambda n: F.floor(F.log(n.cast("double")) / step)
+    own = F.array(F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
+    every = F.sequence(F.lit(0), parts - 1)
+    out = members.withColumn("size", F.explode(F.when(long, F.sequence(band(low), band(high))).otherwise(F.array(F.lit(0).cast("long")))))
+    for cell, mine in (("i", side == "x"), ("j", side == "y")):
+        out = out.withColumn(cell, F.explode(F.when(long, own if mine else every).otherwise(F.array(F.lit(0)))))
+    return out
+
+
+def _others(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of members of a list with different labels that can be similar enough."""
+    known = scratch.write(lists.drop("alone", "pos").join(labels, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "known")
+    tops = known.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    rest = known.join(tops.select("v", F.col("top.c").alias("top")), "v")
+    rest = scratch.write(rest.join(sets.select("doc_id", *(F.col("bits")[i].alias(b) for i, b in enumerate(BITS))), "doc_id"), "rest")
+    keys, names = ["v", "size", "i", "j"], ["doc_id", "n", "reach", "c", *BITS]
+    least = F.expr(f"greatest(({percent} * n) div 100, 1)")
+    x = _dealt(rest.where("c <> top"), "x", percent, least, F.greatest("reach", least)).select(*keys, *(F.col(c).alias(f"x_{c}") for c in names))
+    y = _dealt(rest, "y", percent, F.col("n"), F.col("n")).select(*keys, (F.col("c") == F.col("top")).alias("main"), *(F.col(c).alias(f"y_{c}") for c in names))
+    once = F.col("main") | (F.col("x_doc_id") < F.col("y_doc_id"))
+    pairs = x.join(y, keys).where((F.col("x_c") != F.col("y_c")) & once & _near("x_", "y_") & ~_differ(percent, "x_", "y_"))
+    return pairs.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
@@ -199,38 +265,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     likely = scratch.write(values.join(common, "v", "left_semi").groupBy("doc_id", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= _required(percent, FIRST)).select("doc_id").distinct(), "likely")
     scratch.drop(values)
 
-    sets = scratch.write(docs.join(likely, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets(width), "doc_id long, n long, s binary, sk array<long>, bits array<long>"), "sets")
-    values = sets.select("doc_id", "n", F.explode("sk").alias("v"))
-    common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(common, "v").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    # as many as the prefix has, less the values that no other sketch holds, which come first in it
-    size = F.least("n", F.lit(K))
-    prefix = F.size("vs") - _required(percent, K) + 1
-    lists = shared.select("doc_id", "n", (size - F.size("vs")).alias("alone"), F.posexplode(F.slice("vs", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("at", "x"))
-    lists = lists.select("doc_id", "n", F.col("x.v").alias("v"), F.col("x.df").alias("df"), (F.col("alone") + F.col("at")).alias("pos"))
-    lists = scratch.write(lists.join(sets.select("doc_id", *(F.col("bits")[i].alias(b) for i, b in enumerate(BITS))), "doc_id"), "lists")
-
-    tried, links, rest = None, None, lists.withColumn("c", F.col("doc_id"))
-    for seed in (1, 2):
-        pairs = _chained(rest, percent, seed)
-        pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = _linked(pairs, sets, percent, scratch)
-        links = found if links is None else links.union(found)
-        rest = scratch.write(_labelled(lists, links, scratch), "rest")
-
-    largest = rest.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "c")).alias("top"))
-    minor = rest.join(largest.select("v", F.col("top.c").alias("top")), "v").where("c <> top")
-    names = ["doc_id", "n", "c", "pos", *BITS]
-    x = minor.select("v", *(F.col(c).alias(f"x_{c}") for c in names))
-    y = rest.select(F.col("v").alias("y_v"), *(F.col(c).alias(f"y_{c}") for c in names))
-    pairs = x.join(y, (F.col("v") == F.col("y_v")) & (F.col("x_c") != F.col("y_c")) & _near(percent, "x_", "y_"))
-    pairs = pairs.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.union(_linked(scratch.write(pairs, "pairs"), sets, percent, scratch))
-
-    merged = scratch.write(components(links, scratch), "merged")
-    known = classes.join(merged.withColumnRenamed("node", "rep"), "rep").select("fp", "n", "component")
-    alone = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left_anti").select("fp", "n", F.col("rep").alias("component"))
-    out = sketches.drop("sk").join(scratch.write(known.union(alone), "known"), ["fp", "n"], "left")
+    sets = scratch.write(docs.join(likely, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets(width), "doc_id long, n long, s array<long>, bits array<long>"), "sets")
+    lists = scratch.write(_lists(sets, percent), "lists")
+    stars = _linked(scratch.write(_stars(lists, percent), "pairs"), sets, percent, scratch)
+    labels = scratch.write(_labels(stars), "labels")
+    links = _linked(scratch.write(_others(lists, labels, sets, percent, scratch), "pairs"), sets, percent, scratch).union(stars)
+
+    # links between labels, then the smallest document of the labels that are linked
+    label = lambda x: labels.select(F.col("doc_id").alias(x), F.col("c").alias(f"c_{x}"))
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    joined = scratch.write(components(between, scratch), "joined")
+    nodes = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).distinct().join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("node", F.coalesce("c", "rep"))
+    nodes = scratch.write(nodes.join(joined, "node", "left").select("rep", F.coalesce("component", "node").alias("group")), "nodes")
+    merged = nodes.join(nodes.groupBy("group").agg(F.min("rep").alias("component")), "group").select("rep", "component")
+    known = classes.join(merged, "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("component"))
+    out = sketches.drop("sk").join(scratch.write(known, "known"), ["fp", "n"], "left")
     own = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
