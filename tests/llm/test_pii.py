@@ -112,3 +112,28 @@ def test_edges(spark, edge, nothing):
 @pytest.mark.parametrize("text", ["4111111111111111" * 3, "@@@@", "1" * 200, "a.b" * 5000 + "@", "+1 " * 2000, "-" * 5000, "9 " * 3000])
 def test_no_blow_up(spark, text):
     assert run(spark, text)[0] == [text]
+
+
+@pytest.mark.parametrize("n", [127, 4000, 500_000])
+@pytest.mark.parametrize(
+    "head, unit, tail",
+    [("x@", "a.", "com"), ("x@", "a-", ".com"), ("x@a", ".b", ""), ("", "x.", "@y.com"), ("", "ab", "@"), ("", "1.", "1"), ("", "12-", "1"), ("+", "1 ", ""), ("+1", " 23", ""), ("GB82", " WEST", ""), ("", "0f", ""), ("", "1/", "1"), ("", "(123) ", "")],
+)
+def test_long_runs_of_every_repeated_group(spark, head, unit, tail, n):
+    text = head + unit * n + tail
+    got, _ = run(spark, f"see {text} end")
+    assert got[0].startswith("see ") and got[0].endswith(" end") and len(got[0]) == len(text) + 8
+
+
+def test_domains_have_bounds(spark):
+    good, long = "x@" + "a." * 126 + "com", "x@" + "a." * 127 + "com"
+    got, kinds = run(spark, good, long, "x@" + "z" * 64 + ".com", "x@y.com.123")
+    assert kinds == [["email"], [], [], ["email"]] and got[1] == long and got[0].endswith(good[1:])
+
+
+@pytest.mark.parametrize("spellings", [("+49 170 1234567", "+491701234567", "+49-170-123-4567"), ("+1 212 555 0123", "+12125550123", "+1.212.555.0123"), ("+420 601 234 567", "+420601234567"), ("+7 495 123 4567", "+74951234567")])
+def test_phones_are_linked_whatever_their_separators(spark, spellings):
+    got, kinds = run(spark, *spellings)
+    plain = {"".join(c for c in g if c.isdigit()) for g in got}
+    assert len(plain) == 1 and all(k == ["phone"] for k in kinds) and got[0] != spellings[0]
+    assert got[0].startswith(spellings[0].split(" ")[0])

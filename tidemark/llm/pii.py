@@ -5,7 +5,8 @@ security numbers by their number ranges, calendar dates, telephone numbers, loca
 secrets) are replaced by values of the same format.  The replacement is a keyed Feistel permutation over the symbols of
 the value, each with the number of choices its place has: digits 10, letters 26, octets 256, days of a period, and so on.
 Check digits are computed anew.  So different values stay different, equal values get equal pseudonyms in every
-document and whatever their separators, and a permuted value is valid again.
+document and whatever their separators, and a permuted value is valid again.  A telephone number keeps its country
+code, which its digits tell wherever the separators are.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from .runtime import fresh
 
 ROUNDS = 10
 
-#: The formats, as Java regular expressions; the first that fits at a place counts.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: The formats, as Java regular expressions; the first that fits at a place counts.  Repeated groups are
+#: bounded, as the engine recurses once for each repetition: a domain has at most 127 labels of at most 63 characters, and
+#: the part before it at most 64.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}"
 SECRET = r"(?<![\p{L}\p{N}])(?:(?=[0-9]{0,127}[a-f])[0-9a-f]{32,128}|(?=[0-9]{0,127}[A-F])[0-9A-F]{32,128})(?![\p{L}\p{N}])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 PHONE = r"(?<![\p{L}\p{N}.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}]|[.-]\d)|(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\p{L}\p{N}])"
@@ -28,6 +31,9 @@ IPV4 = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)"
 DATE = r"(?<![\p{L}\p{N}/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\p{L}\p{N}]|[/.-]\d)"
 ANY = "|".join((EMAIL, SECRET, IBAN, DATE, SSN, IPV4, PHONE, CARD))
 
+#: The country codes of telephone numbers that have one or two digits; the others have three.
+CODE = r"^\+(?:[17]|2[ .-]?[07]|3[ .-]?[0-469]|4[ .-]?[013-9]|5[ .-]?[1-8]|6[ .-]?[0-6]|8[ .-]?[1246]|9[ .-]?[0-58]|\d[ .-]?\d[ .-]?\d)"
+
 #: Days of a period within which dates are permuted: 90 * 487 days are 120 years, counted from 1930-01-01.
 DAYS = (90, 487)
 DAY_0 = "1930-01-01"
@@ -200,7 +206,7 @@ def pseudonym(m: Column, kind: Column, secret: str) -> Column:
         return let(feistel(symbols, radix, secret, kind), lambda new: _written(m, kind, new))
 
     head = (
-        F.when(kind == "phone", F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[^0-9])|\+[0-9])?", 0))
+        F.when(kind == "phone", F.regexp_extract(m, CODE, 0))
         .when(kind == "iban", F.regexp_extract(m, "^....", 0))
         .otherwise(F.lit(""))
     )
