@@ -48,6 +48,87 @@ def test_toxicity_held_out(spark, labelled, edge, nothing):
     assert len({r.score for r in toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0"), F.lit(True))).collect()}) == 1
 
 
+def test_words_are_told_apart_by_all_their_bytes():
+    words = ["donaudampfschifffahrt", "donaudampfschiffskapitaen", "a" * 40, "a" * 41, "vile"]
+    for texts in (words, [" ".join(words)], ["".join(f"{w}1" for w in words)]):
+        whole = []
+        for _, data, offsets in string_chunks(pa.array(texts, pa.string())):
+            starts, lengths, _ = toxicity.letter_words(data, offsets)
+            *_, (at, h) = toxicity.tokens(data, starts, lengths)
+            whole += h.tolist()
+        assert len(set(whole)) == len(words)
+    assert list(toxicity.tokens(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))) == []
+
+
+def test_odds_and_calibration_equal_brute_force(spark):
+    draw = random.Random(12)
+    docs, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        text = draw.choices(WORDS, k=draw.randrange(5, 60)) + (["vile"] * draw.choice((1, 2, 30)) if toxic or draw.random() < 0.01 else [])
+        draw.shuffle(text)
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.fit(frame, known, F.lit(True))
+    third = {r.doc_id for r in frame.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(3)) == 0).collect()}
+
+    def grams(word):
+        return [word[:k] for k in toxicity.PREFIXES if len(word) > k] + [f"{word}$"]
+
+    counts, in_texts = {}, {}
+    for (i, text), (_, y) in zip(docs, labels, strict=True):
+        if i not in third:
+            for g in (g for w in text.split() for g in grams(w)):
+                counts.setdefault(g, [0, 0])[y] += 1
+            for g in {g for w in text.split() for g in grams(w)}:
+                in_texts.setdefault(g, [0, 0])[y] += 1
+    n = [sum(c[y] for c in counts.values()) for y in (0, 1)]
+    odds = {}
+    for g, (n0, n1) in counts.items():
+        own, own_texts = toxicity.PRIOR * (n0 + n1), toxicity.PRIOR * sum(in_texts[g])
+        rate = [math.log((c + own) / (m + toxicity.PRIOR * sum(n) - c - own)) for c, m in ((n0, n[0]), (n1, n[1]))]
+        odds[g] = rate[1] - rate[0] - 1.64 * math.sqrt(1 / (in_texts[g][1] + own_texts) + 1 / (in_texts[g][0] + own_texts))
+    kept = {g: v for g, v in odds.items() if v >= toxicity.LEAST}
+    assert kept and sorted(np.round(lexicon.odds, 9)) == sorted(np.round(list(kept.values()), 9))
+
+    gap = math.log(1 - toxicity.MIX)
+    scores = lambda text: [math.log(1 - toxicity.MIX + toxicity.MIX * math.exp(max(v))) if (v := [kept[g] for g in grams(w) if g in kept]) else gap for w in text.split()]
+    lowest = math.log(1 - toxicity.MIX + toxicity.MIX * math.exp(min(kept.values())))
+    clean = [scores(t) for (i, t), (_, y) in zip(docs, labels, strict=True) if i in third and not y]
+    found = [lexicon.segments([i for i, v in enumerate(s) if v != gap], [v for v in s if v != gap]) for s in clean]
+    k = (1 + sum(map(len, found))) / (1 + sum(map(len, clean)) * math.exp(-lowest))
+    assert lexicon.k == pytest.approx(k)
+    for row in toxicity.score(frame, lexicon).collect():
+        s = scores(docs[row.doc_id][1])
+        best = max((sum(s[a:b]) for a in range(len(s)) for b in range(a + 1, len(s) + 1)), default=0)
+        assert row.best == pytest.approx(max(best, 0), abs=1e-9)
+        for part in row.segments:
+            assert part["evalue"] == pytest.approx(min(1.0, lexicon.k * len(s) * math.exp(-part["score"])))
+
+
+def test_the_scan_takes_linear_time():
+    class Steps(list):
+        n = 0
+
+        def __getitem__(self, i):
+            Steps.n += 1
+            return list.__getitem__(self, i)
+
+    lexicon = toxicity.Lexicon()
+    source = __import__("inspect").getsource(toxicity.Lexicon.segments).replace("= []", "= Steps()")
+    space = {"math": math, "Steps": Steps}
+    exec(__import__("textwrap").dedent(source), space)
+    draw = random.Random(1)
+    for gaps in ([400] * 100_000, [draw.choice((1, 5, 400)) for _ in range(100_000)], list(range(100_000, 0, -1)), list(range(100_000))):
+        hits = np.cumsum(gaps).tolist()
+        scores = [draw.choice((0.4, 1.5, 3.9)) for _ in hits]
+        Steps.n = 0
+        found = space["segments"](lexicon, hits, scores)
+        assert Steps.n <= 6 * len(hits) and found == lexicon.segments(hits, scores)
+
+
 def test_segments_equal_brute_force():
     lexicon = toxicity.Lexicon(mix=0.1)
     gap = math.log(0.9)

@@ -1,9 +1,9 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-Lexicon: the tokens of a word are its first 4, 5, ... 8 bytes and the word (its first 16 bytes), lower-cased, letters only.
+Lexicon: the tokens of a word are its first 4, 5, ... 8 bytes and the whole word, lower-cased, letters only.
 For each token, the log-odds between toxic and clean labelled texts is taken with a Dirichlet prior in proportion to the
-token's pooled count (Monroe, Colaresi and Quinn, 2008), and lowered by 1.64 standard errors.  Occurrences give the odds
-(at most ``BURST`` of a text count), texts give the error.  Tokens that stay above ``LEAST`` are kept, and a word has the
+token's pooled count (Monroe, Colaresi and Quinn, 2008), and lowered by 1.64 standard errors.  Occurrences give the odds,
+texts give the error.  Tokens that stay above ``LEAST`` are kept, and a word has the
 largest of its tokens' odds, or 0.
 
 Scan: toxic passages are taken to hold a share ``mix`` of lexicon words, so a word of log-odds d scores
@@ -31,19 +31,18 @@ from .runtime import Scratch, texts, tune
 from .shingles import _BYTE, mix, powers, string_chunks
 
 PREFIXES = (4, 5, 6, 7, 8)
-LONGEST = 16
 #: At most so many labelled rows are learned from (those with the smallest hash of doc_id).
 SAMPLE = 40_000
 LEAST = 1.5
 MIX = 0.01
 #: The prior's weight, as a share of the counts.
 PRIOR = 0.03
-BURST = 8
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[ord("a") : ord("z") + 1] = True
 _LETTER[0x80:] = True
-_POWER = powers(np.uint64(0x9E3779B97F4A7C15 | 1), LONGEST)
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_POWER = powers(_BASE, max(PREFIXES))
 
 
 def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,15 +61,23 @@ def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def tokens(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(words that have it, fingerprint) by token: each prefix of words longer than it, then the word itself."""
+    if not len(starts):
+        return
     h = np.zeros(len(starts), np.uint64)
-    padded = np.concatenate((data, np.zeros(LONGEST, np.uint8)))
-    for k in range(min(LONGEST, int(lengths.max(initial=0)))):
+    padded = np.concatenate((data, np.zeros(max(PREFIXES), np.uint8)))
+    for k in range(max(PREFIXES) + 1):
         live = lengths > k
         if k in PREFIXES:
             at = np.flatnonzero(live)
             yield at, mix(h[at] + np.uint64(k))
-        h[live] += _BYTE[padded[starts[live] + k]] * _POWER[k]
-    yield np.arange(len(starts)), mix(h + np.uint64(64))
+        if k < max(PREFIXES):
+            h[live] += _BYTE[padded[starts[live] + k]] * _POWER[k]
+    # the whole word: bytes after it, up to the next one, count nothing
+    spans = np.diff(np.append(starts, len(data)))
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
+    value = _BYTE[data[starts[0] :]] * powers(_BASE, int(spans.max()))[place]
+    value[place >= np.repeat(lengths, spans)] = 0
+    yield np.arange(len(starts)), mix(np.add.reduceat(value, starts - starts[0]) + np.uint64(64))
 
 
 _COUNTS = "token long, toxic long, clean long, toxic_n long, clean_n long"
@@ -90,7 +97,7 @@ def _counts():
                 order = np.lexsort((o, h))
                 h, o = h[order], o[order]
                 new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])))[: len(h)])
-                times = np.minimum(np.diff(np.append(new, len(h))), BURST)
+                times = np.diff(np.append(new, len(h)))
                 toxic = label[row + o[new]]
                 values, at = np.unique(h[new], return_inverse=True)
                 add = lambda w: pa.array(np.bincount(at, weights=w, minlength=len(values)).astype(np.int64))  # noqa: B023, E731
@@ -127,10 +134,14 @@ class Lexicon:
         return hit, np.log(1 - self.mix + self.mix * np.exp(odds[hit]))
 
     def segments(self, hits: list[int], scores: list[float]) -> list[tuple[int, int, float]]:
-        """All maximal scoring segments (first word, last word, score) of a text whose other words score log(1 - mix)."""
+        """All maximal scoring segments (first word, last word, score) of a text whose other words score log(1 - mix).
+
+        Each candidate knows the last one before it with a smaller sum to its left (Ruzzo and Tompa's linked list); links
+        that a search has followed lie behind the new candidate's own, so all searches together take linear time.
+        """
         gap = math.log(1 - self.mix)
-        # each candidate: first word, last word, sum before it, sum with it
-        stack: list[tuple[int, int, float, float]] = []
+        # each candidate: first word, last word, sum before it, sum with it, the candidate its search goes on with
+        stack: list[tuple[int, int, float, float, int]] = []
         total, last = 0.0, -1
         for i, s in zip(hits, scores, strict=True):
             total += gap * (i - last - 1)
@@ -138,14 +149,18 @@ class Lexicon:
             first, before, total = i, total, total + s
             if s <= 0:
                 continue
-            while stack:
-                j = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][2] < before), -1)
-                if j < 0 or stack[j][3] >= total:
+            j = len(stack) - 1
+            while j >= 0:
+                if stack[j][2] >= before:
+                    j = stack[j][4]
+                elif stack[j][3] < total:
+                    first, _, before, _, link = stack[j]
+                    del stack[j:]
+                    j = link
+                else:
                     break
-                first, before = stack[j][0], stack[j][2]
-                del stack[j:]
-            stack.append((first, i, before, total))
-        return [(a, b, right - left) for a, b, left, right in stack]
+            stack.append((first, i, before, total, j))
+        return [(a, b, right - left) for a, b, left, right, _ in stack]
 
     def minus_log_e(self, words: int, score: float) -> float:
         return max(0.0, score - math.log(max(self.k * words, 1e-300))) if score > 0 else 0.0
