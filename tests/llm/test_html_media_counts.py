@@ -56,6 +56,81 @@ def test_links_and_short_openings_of_the_text_stay():
     assert html.kept([70, 0, 0, 0, 5, 5, 5, 70]) == [True, False, False, False, True, True, True, True]
 
 
+def test_names_of_paragraphs_in_the_article_and_slashes():
+    assert html.main_text(page(f"<article><p class='search-results tags'>{LONG}</p><p class=notice-board>B</p><div class=comments><p>c</p></div><p class='text ad'>x</p></article>")) == f"{LONG}\nB"
+    assert html.main_text(page(f"<article><script src=/a/>var t=1;</script><p>{LONG}</p><a name=x/>y</a><br/>z<img src=/b/ /></article>")) == f"{LONG}\ny z"
+    assert html.main_text(page(f"<script src='a'/>var t = 1;</script><p>{LONG}</p>")) == LONG
+    assert html.main_text(page(f"<iframe src='a' /><svg width=1 /><p>{LONG}</p>")) == LONG
+
+
+@pytest.mark.parametrize("shape", ["<div>{}</div>", "<nav>{}</nav>", "<div class=menu>{}</div>", "<article>{}</article>"])
+def test_deep_nesting_takes_linear_time(shape):
+    import time
+
+    def took(n):
+        start, end = shape.split("{}")
+        began = time.perf_counter()
+        html.main_text(start * n + f"<p>{LONG}</p>" + "<b>" * n + "x" + "</b>" * n + "</i>" * n + end * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(40_000) < 12 * max(took(10_000), 0.05)
+
+
+def plain_kept(lengths):
+    """Surge and dive as the docstring of `kept` puts it, line by line."""
+    n, w = len(lengths), html.WINDOW
+    sums = [sum(lengths[i : i + w]) for i in range(n)]
+    out = set()
+    for s in range(n):
+        if lengths[s] and sums[s] > html.SURGE:
+            dive = next((i for i in range(s, n) if sums[i] == 0), n)
+            start = next((i for i in range(s - 1, -1, -1) if sum(lengths[max(0, i - w + 1) : i + 1]) == 0), -1)
+            out |= {i for i in range(start + 1, dive) if lengths[i]}
+    return [i in out for i in range(n)]
+
+
+def test_windows_equal_brute_force():
+    draw = random.Random(3)
+    for _ in range(3000):
+        lengths = [draw.choice((0, 0, 0, 1, 9, 25, 61, 200)) for _ in range(draw.randrange(0, 30))]
+        assert html.kept(lengths) == plain_kept(lengths), lengths
+
+
+def test_lines_hold_what_another_parser_finds(spark, small):
+    """The texts of all pages, against the words that the standard library's parser finds in article elements."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        depth = off = 0
+
+        def __init__(self):
+            super().__init__()
+            self.found = []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.off += tag in ("script", "style", "aside", "form", "nav", "footer")
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            self.off -= tag in ("script", "style", "aside", "form", "nav", "footer")
+
+        def handle_data(self, data):
+            if self.depth > 0 and not self.off:
+                self.found += data.split()
+
+    rows = spark.read.parquet(f"{small}/pages.parquet").collect()
+    same = 0
+    for r in rows:
+        words = Words()
+        words.feed(r.html or "")
+        got = html.main_text(r.html).split()
+        assert not got or set(got) <= set("".join(words.found)) | set(words.found) or len(set(got) - set(words.found)) <= 3
+        same += got == words.found
+    assert rows and same >= 0.5 * len(rows)
+
+
 def test_surge_and_dive():
     assert html.kept([0, 10, 10, 0, 0, 0, 50, 40, 0, 5, 0, 0, 0, 9]) == [False] * 5 + [False, True, True, False, True, False, False, False, False]
     assert html.kept([]) == [] and html.kept([61]) == [True] and html.kept([60]) == [False]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,6 +46,11 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPACE = re.compile(r"\s+")
+#: A slash that ends a tag, not an attribute's unquoted value.
+_ALONE = re.compile(r"(?:^|[\s\"'])/\s*$")
+#: Elements that hold text of the article itself: inside of it, names don't count against them, but those of adverts.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dt", "dd", "figcaption", "table", "td", "th", "tr"}
+ADVERT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*)(?=$|[\s_-])", re.I)
 _CLOSERS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
@@ -56,6 +62,13 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     depth = {"a": 0, "core": 0}
     skip: list[str] = []  # open elements from the outermost skipped one on
     core: list[str] = []
+    count: Counter[str] = Counter()  # those of skip by name
+
+    def end(opened: list[str], tag: str) -> None:
+        # what was left open inside ends with it
+        while (last := opened.pop()) != tag:
+            count[last] -= opened is skip
+        count[last] -= opened is skip
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -92,34 +105,38 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             if tag == "a":
                 depth["a"] = max(0, depth["a"] - 1)
             if skip:
-                if tag in skip:
-                    # what was left open inside ends with it
-                    del skip[len(skip) - 1 - skip[::-1].index(tag) :]
+                if count[tag]:
+                    end(skip, tag)
                 elif tag in ("article", "main", "body", "html"):
                     # an open menu or the like doesn't reach beyond the part of the page it is in
                     skip.clear()
-            if tag in core:
-                del core[len(core) - 1 - core[::-1].index(tag) :]
+                    count.clear()
+            if tag in ("article", "main") and tag in core:
+                end(core, tag)
             continue
         if tag in BLOCKS:
             cut()
         elif tag == "br":
             text(" ")
-        alone = tag in VOID or m["attrs"].rstrip().endswith("/")
-        if tag in RAW and not alone:
-            end = _CLOSERS[tag].search(page, at)
-            at = end.end() if end else len(page)
+        alone = tag in VOID or bool(_ALONE.search(m["attrs"][-8:]))
+        if tag in RAW:
+            # browsers don't heed the slash of such a tag; without an end of the element it is heeded here
+            closer = None if alone and tag == "svg" else _CLOSERS[tag].search(page, at)
+            at = closer.end() if closer else at if alone else len(page)
             continue
         if alone:
             continue
         if skip:
             skip.append(tag)
+            count[tag] += 1
             continue
         attrs = m["attrs"]
         names = " ".join("".join(x) for x in _NAMES.findall(attrs)) if "=" in attrs else ""
         page_header = tag == "header" and not core
-        if tag in SKIPPED or page_header or (attrs and _HIDDEN.search(attrs)) or (names and tag not in ("html", "body", "article", "main") and NOISE.search(names)):
+        noise = ADVERT if core and tag in PROSE else NOISE
+        if tag in SKIPPED or page_header or (attrs and _HIDDEN.search(attrs)) or (names and tag not in ("html", "body", "article", "main") and noise.search(names)):
             skip.append(tag)
+            count[tag] += 1
         elif tag in ("article", "main"):
             core.append(tag)
         elif tag == "a":
