@@ -200,6 +200,55 @@ def test_disposal_transparency_and_palettes():
         gif.decode(b"no")
 
 
+def test_memory_follows_the_file_not_its_header(spark):
+    word = lambda v: v.to_bytes(2, "little")
+    screen = b"GIF89a" + word(65535) + word(65535) + b"\0\0\0;"
+    frame = b"GIF89a" + word(4) + word(4) + b"\0\0\0" + b"\x2c\0\0\0\0" + word(65535) + word(65535) + b"\0\x02\x02\x44\x01\0;"
+    rows = spark.createDataFrame([(1, bytearray(screen)), (2, bytearray(frame))], "media_id long, media binary")
+    assert media.frames(rows).isEmpty() and gif.decode(frame) == []
+    # a run of one colour is what fills most: it is taken at its full size
+    one = gif.encode(bytes(64 * 60_000), rows=60_000)
+    assert gif.decode(one)[0].samples.shape == (60_000, 64)
+
+
+def test_stored_frames_are_shown_as_another_decoder_would():
+    """Frames of a stored payload composed by hand: grey levels, later frames over earlier ones."""
+    payload = bytes(range(64)) * 3 + bytes(range(128, 192)) * 2
+    (one, two), samples = zip(*media.timed(gif.encode(payload, rows=3)), strict=True)
+    assert b"".join(samples) == payload and (one["starts_ms"], two["starts_ms"]) == (0, 100)
+    level = lambda v: 21 * (v >> 6)
+    first = [level(v) for v in payload[:192]]
+    second = [level(v) for v in payload[192:] + payload[128:192]]
+    assert one["histogram"] == [first.count(i) for i in range(64)] and two["histogram"] == [second.count(i) for i in range(64)]
+
+
+def plain_lzw(stream, least):
+    """A decoder after the format's description, code by code."""
+    bits = int.from_bytes(stream, "little")
+    clear, width, at, table, out, last = 1 << least, least + 1, 0, [], b"", None
+    while at + width <= 8 * len(stream):
+        code = bits >> at & (1 << width) - 1
+        at += width
+        if code == clear:
+            table, width, last = [bytes((i,)) for i in range(clear)] + [b"", b""], least + 1, None
+            continue
+        if code == clear + 1:
+            break
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last is not None and len(table) < 4096:
+            table.append(last + entry[:1])
+            if len(table) == 1 << width and width < 12:
+                width += 1
+        last = entry
+    return out
+
+
+@pytest.mark.parametrize("data", [b"", b"a" * 5000, bytes(range(256)) * 12, ("the cat sat on the mat " * 300).encode()], ids=len)
+def test_streams_are_read_by_a_plain_decoder(data):
+    assert plain_lzw(gif.lzw_encode(data), 8) == data
+
+
 def test_frames_table(spark):
     one = gif.encode(bytes(range(64)) * 3, rows=2, delay=7)
     rows = spark.createDataFrame([(1, bytearray(one)), (2, None), (3, bytearray(b"")), (4, bytearray(b"junk"))], "media_id long, media binary")

@@ -15,6 +15,8 @@ WIDTH = 64
 ROWS = 4096
 #: Hundredths of a second that a stored frame stays.
 DELAY = 10
+#: A screen or frame of so many pixels is taken whatever the length of its stream.
+SMALL = 1 << 20
 
 
 def _widths(n: int, least: int, late: int) -> np.ndarray:
@@ -167,6 +169,11 @@ class Frame:
     shown: np.ndarray | None  # rows by columns by (red, green, blue, alpha)
 
 
+def _fillable(bits: int, least: int) -> int:
+    """The samples that a stream of so many bits can hold at most: a code of least + 1 bits or more stands for 3838 at most."""
+    return max(SMALL, bits // (least + 1) * 3838)
+
+
 def _interlaced(rows: int) -> np.ndarray:
     """The order in which an interlaced image stores its rows."""
     return np.concatenate([np.arange(a, rows, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
@@ -176,8 +183,9 @@ def decode(data: bytes, shown: bool = True) -> list[Frame]:
     """The frames of a GIF.  With ``shown``, each is composed on the canvas under the rules of disposal: 2 clears the
     frame's area before the next one, 3 brings back what was there; transparent samples leave the canvas as it is.
 
-    A file that breaks off gives the frames before the break; samples that are missing are 0.  What isn't a GIF raises
-    ValueError.
+    A file that breaks off gives the frames before the break; samples that are missing are 0.  A frame or screen larger than
+    what its bytes can fill (and than ``SMALL`` pixels) is a break, so memory follows the file and not its header.  What isn't
+    a GIF raises ValueError.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
@@ -192,7 +200,9 @@ def decode(data: bytes, shown: bool = True) -> list[Frame]:
 
     if flags & 0x80:
         palette, at = colours(at, flags)
-    canvas = np.zeros((height, width, 4), np.uint8)
+    if width * height > _fillable(8 * len(data), 2):
+        raise ValueError("a screen larger than the file can fill")
+    canvas = np.zeros((height, width, 4) if shown else (0, 0, 4), np.uint8)
     frames: list[Frame] = []
     delay, disposal, transparent = 0, 0, None
 
@@ -220,6 +230,8 @@ def decode(data: bytes, shown: bool = True) -> list[Frame]:
                 break
             least = data[at]
             stream, at = chunks(at + 1)
+            if w * h > _fillable(8 * len(stream), max(least, 1)):
+                break
             samples = np.zeros(w * h, np.uint8)
             got = np.frombuffer(lzw_decode(stream, least, w * h), np.uint8) if 1 <= least <= 8 else samples[:0]
             samples[: len(got)] = got

@@ -17,6 +17,22 @@ from .runtime import Scratch, texts, tune
 FRAMES = "media_id long, frame int, starts_ms long, delay_ms long, disposal int, width int, height int, histogram array<long>"
 
 
+def timed(data: bytes) -> list[tuple[dict, bytes]]:
+    """Of each frame of a GIF, the columns of `frames` and its samples; none of what isn't a GIF."""
+    try:
+        found = gif.decode(data)
+    except ValueError:
+        return []
+    starts = np.cumsum([0] + [10 * f.delay for f in found])
+    return [
+        (
+            {"frame": i, "starts_ms": int(starts[i]), "delay_ms": 10 * f.delay, "disposal": f.disposal, "width": f.samples.shape[1], "height": f.samples.shape[0], "histogram": gif.histogram(f.shown).tolist()},
+            f.samples.tobytes(),
+        )
+        for i, f in enumerate(found)
+    ]
+
+
 def frames(media: DataFrame) -> DataFrame:
     """A row for each frame of each GIF of ``media`` (media_id, media): its time, disposal, size and colour histogram.
 
@@ -27,15 +43,7 @@ def frames(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for media_id, data in zip(batch.column("media_id").to_pylist(), batch.column("media"), strict=True):
-                try:
-                    found = gif.decode(data.as_py() or b"")
-                except ValueError:
-                    continue
-                starts = np.cumsum([0] + [10 * f.delay for f in found])
-                rows = [
-                    {"media_id": media_id, "frame": i, "starts_ms": int(starts[i]), "delay_ms": 10 * f.delay, "disposal": f.disposal, "width": f.samples.shape[1], "height": f.samples.shape[0], "histogram": gif.histogram(f.shown).tolist()}
-                    for i, f in enumerate(found)
-                ]
+                rows = [{"media_id": media_id} | row for row, _ in timed(data.as_py() or b"")]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_frames_schema)
 
@@ -68,12 +76,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, n_bytes, media in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
             data = media.as_py()
-            found = gif.decode(data, shown=False)
-            payload = b"".join(f.samples.tobytes() for f in found)
-            samples = np.frombuffer(payload, np.uint8)
-            # grey levels: the colours of a stored payload lie on the diagonal of the colour cube
-            shares = np.bincount(samples >> 6, minlength=4)
-            feature = f"frames={len(found)};ms={sum(10 * f.delay for f in found)};grey=" + ",".join(map(str, shares.tolist())) + f";sum={int(samples.sum(dtype=np.int64))}"
+            found = timed(data)
+            payload = b"".join(samples for _, samples in found)
+            # the colours that any frame shows, with their pixels in all frames
+            shown = np.sum([row["histogram"] for row, _ in found], axis=0)
+            colours = ",".join(f"{i}:{shown[i]}" for i in np.flatnonzero(shown).tolist())
+            feature = f"frames={len(found)};ms={sum(row['delay_ms'] for row, _ in found)};starts=" + ",".join(str(row["starts_ms"]) for row, _ in found) + f";colours={colours}"
             rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
         yield pa.record_batch([pa.array(c, t.type) for c, t in zip(columns, _read_schema, strict=True)], schema=_read_schema)
@@ -85,7 +93,8 @@ _read_schema = pa.schema(
 
 
 def read(media: DataFrame) -> DataFrame:
-    """What stored GIFs hold: the payload's length, hash and tail, the file's length and hash, and features of its frames."""
+    """What stored GIFs hold: the payload's length, hash and tail, the file's length and hash, and the features of its frames
+    as shown (see `frames`): their number, times and summed colour histogram."""
     tune(media.sparkSession)
     return media.mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
