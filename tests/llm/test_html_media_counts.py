@@ -300,6 +300,46 @@ def test_deltas_equal_a_recount(spark, tmp_path, edge, nothing):
     assert counts.count() == edge.count() and tokencounts.counted(nothing, WORDS).isEmpty()
 
 
+def test_folds_keep_totals(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame(rows, tokencounts.ROWS)
+    ledger = tokencounts.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert not ledger.fold()
+    a, b = frame([(1, "s", None, "v", 10, 40), (2, "s", "en", "v", 5, 20)]), frame([(3, None, "en", "v", 7, 9)])
+    ledger.apply("a", tokencounts.deltas(inserted=a))
+    assert ledger.fold() and not ledger.fold()
+    ledger.apply("b", tokencounts.deltas(inserted=b, deleted=frame([(2, "s", "en", "v", 5, 20)])))
+    expected = [("s", None, "v", 1, 10, 40), (None, "en", "v", 1, 7, 9)]
+    assert totals(ledger) == sorted(expected, key=repr)
+    assert ledger.fold() and totals(ledger) == sorted(expected, key=repr)
+    # the first batch's data is gone, its name still counts
+    assert not any(s.getPath().getName().endswith(".parquet") for s in ledger._fs.listStatus(ledger._path(ledger._folder("a"))))
+    assert not ledger.apply("a", tokencounts.deltas(inserted=a)) and not ledger.apply("b", tokencounts.deltas(inserted=b))
+    ledger.apply("c", tokencounts.deltas(revised=(b, frame([(3, None, "en", "v", 8, 9)]))))
+    assert tokencounts.Ledger(spark, f"file://{tmp_path}/ledger").totals().where("tokens = 8").count() == 1
+    # what a lost race leaves inside a batch's folder is not read
+    ledger._fs.mkdirs(ledger._path(f"{ledger._folder('c')}/stray"))
+    b.select(*tokencounts.KEYS, "tokens", "chars").withColumn("docs", F.lit(1)).write.mode("overwrite").parquet(f"{ledger._folder('c')}/stray/x")
+    assert ledger.totals().where("tokens = 8").count() == 1
+
+
+def test_token_query_equals_a_plain_count(spark, small):
+    import tiktoken
+
+    from tidemark.llm import queries
+
+    own = tiktoken.Encoding("plain", pat_str=queries.BYTE_BPE, mergeable_ranks=tokencounts.read_ranks(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken"), special_tokens={})
+    expected = {}
+    for r in queries.table(spark, small, "documents").collect():
+        text = r.text or ""
+        plain = "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in text).split(" ")
+        for version, n in (("byte_bpe_50k", len(own.encode_ordinary(text))), ("words_1", sum(w != "" for w in plain))):
+            sums = expected.setdefault((r.source, r.lang, version), [0, 0, 0])
+            for i, v in enumerate((1, n, len(text))):
+                sums[i] += v
+    got = queries.op7_tokencounts(spark, small).collect()
+    assert {tuple(r)[:3]: list(r)[3:] for r in got} == expected and len(got) == len(expected)
+
+
 def test_byte_pairs_equal_another_library(spark):
     from tokenizers import Tokenizer
 

@@ -60,12 +60,30 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def op7_tokencounts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+def op7_tokencounts(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    """Totals by source, language and tokenizer version as a ledger keeps them over its life, each batch over all rows: loaded
+    with estimates (a token for 4 characters) while texts wait for the tokenizers, revised to the counts, every row deleted
+    and put in again (a reload of the sources), with batches that come twice, and folded in between.
+
+    ``tokenizers`` is the folder of the vocabulary files on the driver: by default the session's
+    ``spark.tidemark.tokenizers``, else TOKENIZERS.
+    """
+    tokenizers = tokenizers or spark.conf.get("spark.tidemark.tokenizers", TOKENIZERS)
     versions = {"byte_bpe_50k": (f"{tokenizers}/byte_bpe_50k.tiktoken", BYTE_BPE), "words_1": (None, r"[^\x20\x09-\x0D]+")}
     counts = Scratch(spark, "tokencounts").write(tokencounts.counted(table(spark, sf_dir, "documents"), versions), "counts")
+    estimates = counts.withColumn("tokens", F.expr("chars div 4"))
     ledger = tokencounts.Ledger(spark, f"{shared_dir(spark)}/tidemark/ledger-{uuid.uuid4().hex}")
     for version in versions:
-        ledger.apply(f"load {version}", tokencounts.deltas(inserted=counts.where(F.col("tokenizer") == version)))
+        ledger.apply(f"load {version}", tokencounts.deltas(inserted=estimates.where(F.col("tokenizer") == version)))
+    ledger.fold()
+    for version in versions:
+        own = F.col("tokenizer") == version
+        ledger.apply(f"count {version}", tokencounts.deltas(revised=(estimates.where(own), counts.where(own))))
+    ledger.apply("delete", tokencounts.deltas(deleted=counts))
+    ledger.apply("load words_1", tokencounts.deltas(inserted=estimates))  # came before: changes nothing
+    ledger.apply("insert", tokencounts.deltas(inserted=counts))
+    ledger.fold()
+    ledger.apply("delete", tokencounts.deltas(deleted=counts))  # so did this one
     return ledger.totals()
 
 

@@ -4,7 +4,9 @@ A ledger is a folder in a store that all machines share.  ``apply`` takes a batc
 counts) with a batch id, turns it into signed deltas per source, language and tokenizer version, and commits it once:
 the deltas are written to a folder named by the batch, which becomes visible by one rename.  A batch whose folder is
 there has been committed, so applying it again changes nothing, and a run that dies before the rename leaves nothing
-visible.  ``totals`` adds up the committed deltas; since sums are additive, batches may come in any order.
+visible.  ``totals`` adds up the committed deltas; since sums are additive, batches may come in any order.  ``fold`` writes
+the totals and the names of the batches they hold, again made visible by one rename; from then on totals are that table
+and the batches after it, so their cost follows the changes since, not the ledger's age.
 """
 
 from __future__ import annotations
@@ -111,20 +113,61 @@ class Ledger:
             # another run was faster
             self._fs.delete(self._path(staged), True)
             return False
+        # where the other run's folder appeared in between, the rename went into it: as a folder that no reader looks into
         inside = self._path(f"{self._folder(batch)}/{staged.rsplit('/', 1)[1]}")
         if self._fs.exists(inside):
-            # the other run's folder appeared in between, and the rename went into it
             self._fs.delete(inside, True)
             return False
         return True
 
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def _folded(self) -> tuple[str | None, list[str]]:
+        """The folder of the newest fold, and the batches that it doesn't hold."""
+        last = next(reversed(self._names("folded")), None)
+        if last is None:
+            return None, self._names("batches")
+        folder = f"{self.path}/folded/{last}"
+        held = {r[0] for r in self.spark.read.schema("batch string").json(f"{folder}/names").collect()}
+        return folder, [b for b in self._names("batches") if b not in held]
+
+    def fold(self) -> bool:
+        """Write the totals of all committed batches as one table; False if there is nothing new, or another run was faster.
+
+        The batches' folders stay, as their names keep them from being applied again; the data of batches that the fold
+        before this one held already goes, so a reader of that one is not disturbed.
+        """
+        before, new = self._folded()
+        if not new:
+            return False
+        every, n = self._names("batches"), len(self._names("folded"))
+        staged = f"{self.path}/tries/{uuid.uuid4().hex}"
+        self._fs.mkdirs(self._path(f"{self.path}/folded"))
+        self._sums(before, new).write.parquet(f"{staged}/sums")
+        self.spark.createDataFrame([(b,) for b in every], "batch string").coalesce(1).write.json(f"{staged}/names")
+        target = self._path(f"{self.path}/folded/{n:09d}")
+        if self._fs.exists(target) or not self._fs.rename(self._path(staged), target) or self._fs.exists(self._path(f"{self.path}/folded/{n:09d}/{staged.rsplit('/', 1)[1]}")):
+            self._fs.delete(self._path(staged), True)
+            self._fs.delete(self._path(f"{self.path}/folded/{n:09d}/{staged.rsplit('/', 1)[1]}"), True)
+            return False
+        for b in every:
+            if b not in new:
+                for s in self._fs.listStatus(self._path(f"{self.path}/batches/{b}")):
+                    self._fs.delete(s.getPath(), True)
+        return True
+
+    def _sums(self, folded: str | None, batches: list[str]) -> DataFrame:
+        schema = "source string, lang string, tokenizer string, docs long, tokens long, chars long"
+        paths = ([f"{folded}/sums"] if folded else []) + [f"{self.path}/batches/{b}" for b in batches]
+        # files alone: a folder within a batch's folder is what a lost race left
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).where(" OR ".join(f"{c} <> 0" for c in SUMS))
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens, chars) over all committed batches; keys whose sums are all 0 go.
 
         A null source or language is a key of its own.
         """
-        schema = "source string, lang string, tokenizer string, docs long, tokens long, chars long"
-        if not self._fs.exists(self._path(f"{self.path}/batches")):
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/batches/*") if self._fs.listStatus(self._path(f"{self.path}/batches")) else self.spark.createDataFrame([], schema)
-        return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).where(" OR ".join(f"{c} <> 0" for c in SUMS))
+        return self._sums(*self._folded())
