@@ -268,3 +268,40 @@ def test_every_word_has_its_own_count(spark, monkeypatch):
         monkeypatch.setattr(lm, "KNOWN", known)
         got = [tuple(r) for r in lm.score(docs).orderBy("doc_id").collect()]
         assert [r[:2] for r in got] == [r[:2] for r in whole] and np.allclose([r[2] for r in got], [r[2] for r in whole], atol=0.02)
+
+
+def test_scores_don_t_depend_on_the_split(spark, small, monkeypatch):
+    monkeypatch.setattr(lm.fit, "__defaults__", (7, 1_000))  # several shards in a round
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    one, many = ([tuple(r) for r in lm.score(docs.repartition(n)).orderBy("doc_id").collect()] for n in (1, 7))
+    assert one == many and sum(r[1] for r in one) > 5 * lm.ROUNDS * 1_000
+
+
+def test_averaged_weights_equal_a_plain_average(spark):
+    """The shards of one round, trained and averaged by hand."""
+    draw = random.Random(5)
+    docs = sides(spark, [" ".join(draw.choices(WORDS, k=50)) for _ in range(60)])
+    scratch = Scratch(spark, "t")
+    vocab = lm.vocabulary(docs, scratch)
+    got = lm.fit(docs, vocab, scratch, shard=200)
+    shards, sizes = {}, {}
+    for r in docs.collect():
+        _, data, offsets = next(string_chunks(pa.array([r.text])))
+        classes = vocab.classes(word_table(data, offsets)[0])
+        key = spark.range(1).select(F.xxhash64(F.lit(r.doc_id).cast("long"), F.lit(bytearray(classes.astype(np.uint8).tobytes())))).first()[0]
+        sizes[key % lm.ROUNDS] = sizes.get(key % lm.ROUNDS, 0) + len(classes)
+        shards.setdefault(key % lm.ROUNDS, []).append((key, classes))
+    net, square = lm.start(7, vocab.prior), {k: np.full(s, 1e-4, np.float32) for k, s in lm.SHAPES.items()}
+    for n in sorted(shards):
+        parts = {}
+        for key, classes in sorted(shards[n], key=lambda x: x[0]):
+            parts.setdefault((key >> 8) % -(-sizes[n] // 200), []).append(classes)
+        found = []
+        for held in parts.values():
+            own, own_square = ({k: v.copy() for k, v in x.items()} for x in (net, square))
+            lm.trained(own, own_square, held, 7 + n)
+            found.append((own, own_square, sum(map(len, held))))
+        mean = lambda j: {k: np.round(sum(f[j][k].astype(float) * f[2] for f in found) / sum(f[2] for f in found), 7).astype(np.float32) for k in lm.SHAPES}  # noqa: B023, E731
+        net, square = mean(0), {k: np.maximum(v, 1e-4).astype(np.float32) for k, v in mean(1).items()}
+    for k in lm.SHAPES:
+        assert np.abs(net[k] - got[k]).max() < 1e-5
