@@ -2,8 +2,9 @@
 
 Lexicon: the tokens of a word are its first 4, 5, ... 8 bytes and the whole word, lower-cased, letters only.
 For each token, the log-odds between toxic and clean labelled texts is taken with a Dirichlet prior in proportion to the
-token's pooled count (Monroe, Colaresi and Quinn, 2008), and lowered by 1.64 standard errors.  Occurrences give the odds,
-texts give the error.  Tokens that stay above ``LEAST`` are kept, and a word has the
+token's pooled count (Monroe, Colaresi and Quinn, 2008), and lowered by 1.64 standard errors.  Occurrences give the odds
+(n of them in one text count ``DAMP`` * log(1 + n / ``DAMP``), so that a text that repeats one word over and over doesn't
+outweigh the others), texts give the error.  Tokens that stay above ``LEAST`` are kept, and a word has the
 largest of its tokens' odds, or 0.
 
 Scan: toxic passages are taken to hold a share ``mix`` of lexicon words, so a word of log-odds d scores
@@ -37,6 +38,8 @@ LEAST = 1.5
 MIX = 0.01
 #: The prior's weight, as a share of the counts.
 PRIOR = 0.03
+#: From about so many occurrences in a text on, more of them count less.
+DAMP = 4
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[ord("a") : ord("z") + 1] = True
@@ -84,7 +87,7 @@ _COUNTS = "token long, toxic long, clean long, toxic_n long, clean_n long"
 
 
 def _counts():
-    """Of each token and each label, the texts that have it and its occurrences; summed by chunk."""
+    """Of each token and each label, the texts that have it and its occurrences (damped, in thousandths); summed by chunk."""
     schema = pa.schema([(c, pa.int64()) for c in ("token", "toxic", "clean", "toxic_n", "clean_n")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,12 +95,14 @@ def _counts():
             label = np.array(batch.column("toxic").to_pylist(), dtype=np.int64) == 1
             for row, data, offsets in string_chunks(pc.utf8_lower(batch.column("text"))):
                 starts, lengths, first = letter_words(data, offsets)
+                if not len(starts):
+                    continue
                 owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
                 h, o = (np.concatenate(c) for c in zip(*((h, owner[at]) for at, h in tokens(data, starts, lengths)), strict=True))
                 order = np.lexsort((o, h))
                 h, o = h[order], o[order]
                 new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])))[: len(h)])
-                times = np.diff(np.append(new, len(h)))
+                times = np.round(1000 * DAMP * np.log1p(np.diff(np.append(new, len(h))) / DAMP)).astype(np.int64)
                 toxic = label[row + o[new]]
                 values, at = np.unique(h[new], return_inverse=True)
                 add = lambda w: pa.array(np.bincount(at, weights=w, minlength=len(values)).astype(np.int64))  # noqa: B023, E731
