@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, slots:
 
     No row is dropped: past the slot where a source runs out its slots stay empty, and the other sources go on at the
     same distance.  Up to the first such slot the deviation is less than one block.  A null source is a source; rows that
-    agree in doc_id are ranked in an arbitrary order.  An empty table gives an empty one.  Columns of ``docs`` that are
+    agree in doc_id are ranked by a hash of the whole row.  An empty table gives an empty one.  Columns of ``docs`` that are
     called like the added ones are replaced.
     """
     added = ["share", "block", "place", "release", "deadline", "slot"]
@@ -141,7 +141,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, slots:
     table = period(shares, slots)
 
     # the ranks within cells and the join of the cells need the same partitioning: one shuffle
-    within = Window.partitionBy(*group).orderBy(F.asc(key), F.asc("doc_id"))
+    own = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    within = Window.partitionBy(*group).orderBy(F.asc(key), F.asc("doc_id"), F.xxhash64(*own))
     placed = keyed.withColumn(key, F.row_number().over(within) - 1).join(cells, group)
     placed = placed.withColumn(key, F.col(key) + F.col(before))
     placed = placed.withColumn("block", F.expr(f"`{key}` div {block_rows}")).withColumn("place", (F.col(key) % block_rows).cast("int"))
