@@ -105,3 +105,20 @@ def test_no_python_in_the_native_operators(spark, edge):
     for frame in (mixing.mix(edge), pseudonymise(edge, "k")):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_rows_that_agree_in_doc_id_have_one_order(spark):
+    rows = [(i % 5, "s", f"text {i}") for i in range(300)] + [(None, None, f"n{i}") for i in range(50)]
+    orders = []
+    for parts in (1, 6):
+        mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(parts), ranked=20)
+        orders.append([r.text for r in mixed.orderBy("slot", "place").collect()])
+    assert orders[0] == orders[1] and len(set(orders[0])) == 350
+
+
+def test_a_large_benchmark_gives_the_same_rows(spark, edge, small):
+    docs, bench = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.select("doc_id", "text").union(docs.select("doc_id", "text").limit(20)).union(edge.select("doc_id", "text"))
+    bench = bench.select("item_id", "text").union(bench.select("item_id", "text").limit(3)).union(spark.createDataFrame([(None, "one"), (7, "w x"), (8, None)], "item_id long, text string"))
+    one, other = (sorted(map(str, decontam.contaminated(docs, bench, block=b).collect())) for b in (decontam.BLOCK, 10))
+    assert one == other and len(one) > 2

@@ -79,3 +79,27 @@ def test_edges(spark, small, edge, nothing):
 def test_run(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     assert rows and len({(r.slot, r.place) for r in rows}) == len(rows)
+
+
+def test_rows_go_by_their_own_text(spark, small):
+    """Rows that share a doc_id, or have none, stay or go each by itself; columns of any name are kept."""
+    from pyspark.sql import functions as F
+
+    item = queries.table(spark, small, "benchmark").first().text
+    rows = [(1, item), (1, "a clean text of some words that stays"), (None, f"before {item} after"), (None, "another clean text without an id"), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars", "'k' AS key", "2 AS found", "3 AS n_pii", "4 AS `a.b`")
+    kept = corpus_pipeline.decontaminated(spark, docs, small)
+    assert kept.columns == docs.columns and sorted(map(str, (r.text for r in kept.collect()))) == sorted(map(str, (rows[1][1], rows[3][1], None, "")))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where(F.lit(False)), small).isEmpty()
+        out = stage(spark, docs, small)
+        assert set(docs.columns) <= set(out.columns) and out.where("n_pii = 3 AND `a.b` = 4 AND found = 2").count() == out.count() >= 4, name
+
+
+def test_toxic_rows_without_an_id_go(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = queries.table(spark, folder, "documents")
+    toxic = queries.table(spark, folder, "labels").where("toxic = 1").select("doc_id")
+    bad = docs.join(toxic, "doc_id", "left_semi").selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars")
+    kept = corpus_pipeline.clean(spark, docs.union(bad), folder)
+    assert kept.where("doc_id IS NULL").count() <= 0.2 * bad.count()

@@ -226,14 +226,15 @@ def pseudonym(m: Column, kind: Column, secret: str) -> Column:
     return F.when(kind.isin("ipv4", "ssn", "date"), let(F.lit(0), numbers)).otherwise(let(head, text))
 
 
-def pseudonymise(docs: DataFrame, secret: str, column: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, secret: str, column: str = "text", keep: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``column``, and n_pii (values replaced) and pii_kinds (their kinds, in order).
 
     Values that fail validation, as numbers whose check digit is wrong, stay as they are.  A null text stays null, with
     n_pii 0; an empty one stays empty.  Rows are handled one by one, so repeated rows get equal results.  Columns of
-    ``docs`` called n_pii or pii_kinds are replaced, others are kept whatever their names.
+    ``docs`` called n_pii or pii_kinds are replaced, others are kept whatever their names.  With ``keep`` the columns are
+    those of ``docs`` alone.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_pii", "pii_kinds")])
+    docs = docs if keep else docs.drop(*[c for c in docs.columns if c.lower() in ("n_pii", "pii_kinds")])
     found, new, kinds = fresh(docs, "found", "new", "kinds")
     text = F.col(f"`{column}`")
     # every format holds a digit or an @
@@ -245,4 +246,6 @@ def pseudonymise(docs: DataFrame, secret: str, column: str = "text") -> DataFram
     replaced = F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(text)
     real = F.filter(kinds, lambda k: k.isNotNull())
     columns = [replaced.alias(c) if c == column else F.col(f"`{c}`") for c in docs.columns]
+    if keep:
+        return marked.select(*columns)
     return marked.select(*columns, F.coalesce(F.size(real), F.lit(0)).alias("n_pii"), F.coalesce(real, F.array().cast("array<string>")).alias("pii_kinds"))

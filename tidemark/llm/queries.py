@@ -146,7 +146,10 @@ item_words AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce
 item_shingles AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 5 THEN [] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM item_words),
 sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id),
 hits AS (SELECT doc_id, item_id, count(*) AS i FROM shingles JOIN item_shingles USING (s) GROUP BY ALL)
-SELECT doc_id, item_id, n AS n_item, i AS n_shared, i / n AS containment FROM hits JOIN sizes USING (item_id) WHERE 100 * i >= 80 * n""",
+SELECT doc_id, item_id, n AS n_item, i AS n_shared, i / n AS containment FROM hits JOIN sizes USING (item_id) WHERE 100 * i >= 80 * n
+UNION ALL
+SELECT doc_id, item_id, 1, 1, 1.0 FROM item_words i JOIN words d ON contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')
+WHERE len(i.w) BETWEEN 1 AND 4""",
     "op10_mixing": f"""
 WITH RECURSIVE {_PERIOD},
 ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS r FROM documents),

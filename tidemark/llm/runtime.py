@@ -6,7 +6,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -90,3 +90,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` (and ``more``) alone; a null text is empty.  Other columns, whatever their names, go."""
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+
+
+def row_key() -> Column:
+    """64 bits that tell a row by its doc_id and text; rows that agree in both share it."""
+    return F.xxhash64("doc_id", "text")
+
+
+def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose `row_key` isn't in the column doc_id of ``keys``: rows go by what they hold themselves,
+    not by others that share their doc_id, and with a doc_id of null as well."""
+    (key,) = fresh(docs, "key")
+    gone = keys.select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
