@@ -89,9 +89,8 @@ def string_fields(frame: DataFrame, column: str, *keep: str) -> DataFrame:
     """``keep``, key and value of each top-level field of a JSON object that is a string."""
     parsed = F.try_parse_json(F.col(column))
     objects = frame.select(*keep, parsed.alias("__parsed")).where(F.schema_of_variant(F.col("__parsed")).startswith("OBJECT"))
-    objects.createOrReplaceTempView("__string_fields")
     names = "".join(f"`{k}`, " for k in keep)
-    exploded = frame.sparkSession.sql(f"SELECT {names}key, value FROM __string_fields, LATERAL variant_explode(__parsed)")
+    exploded = frame.sparkSession.sql(f"SELECT {names}key, value FROM {{objects}}, LATERAL variant_explode(__parsed)", objects=objects)
     return exploded.where(F.schema_of_variant("value") == "STRING").select(*keep, "key", F.expr("variant_get(value, '$', 'string')").alias("value"))
 
 

@@ -21,10 +21,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(both > 0, dot(a, b) / F.nullif(both, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: inside of a lambda it would be computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def l2_normalize(a: Column) -> Column:
     """Unit length; a zero vector stays as it is.  Elements are doubles."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / F.nullif(n, F.lit(0.0)))).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / F.nullif(n, F.lit(0.0)))).otherwise(F.transform(a, lambda x: x.cast("double"))))
 
 
 def q8_scale(a: Column) -> Column:
@@ -35,12 +39,12 @@ def q8_scale(a: Column) -> Column:
 
 def q8_codes(a: Column, scale: Column) -> Column:
     """Each element over the scale, rounded half away from zero, within -127 and 127."""
-    return F.transform(a, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") / scale).cast("int"))).cast("tinyint"))
+    return let(scale, lambda s: F.transform(a, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") / s).cast("int"))).cast("tinyint")))
 
 
 def q8_quantize(a: Column) -> Column:
     """STRUCT<scale: DOUBLE, data: ARRAY<TINYINT>>."""
-    return F.struct(q8_scale(a).alias("scale"), q8_codes(a, q8_scale(a)).alias("data"))
+    return let(q8_scale(a), lambda s: F.struct(s.alias("scale"), F.transform(a, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") / s).cast("int"))).cast("tinyint")).alias("data")))
 
 
 def q8_dot(a: Column, b: Column) -> Column:
@@ -68,12 +72,14 @@ _SQL = {
         "DOUBLE",
         "coalesce(try_divide(aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x), sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x))), 0D)",
     ),
-    "l2_normalize": ("a ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "transform(a, x -> coalesce(try_divide(x, sqrt(aggregate(a, 0D, (s, y) -> s + y * y))), x))"),
+    "l2_normalize": ("a ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "transform(array(sqrt(aggregate(a, 0D, (s, y) -> s + y * y))), n -> transform(a, x -> coalesce(try_divide(x, n), x)))[0]"),
+    "q8_scale": ("a ARRAY<DOUBLE>", "DOUBLE", "transform(array(array_max(transform(a, y -> abs(y)))), m -> if(m > 1.1920928955078125e-07, m / 127, 1D))[0]"),
     "q8_quantize": (
         "a ARRAY<DOUBLE>",
         "ARRAY<TINYINT>",
-        "transform(a, x -> cast(greatest(-127, least(127, cast(round(x / if(array_max(transform(a, y -> abs(y))) > 1.1920928955078125e-07, array_max(transform(a, y -> abs(y))) / 127, 1D)) as int))) as tinyint))",
+        "transform(array(array_max(transform(a, y -> abs(y)))), m -> transform(a, x -> cast(greatest(-127, least(127, cast(round(x / if(m > 1.1920928955078125e-07, m / 127, 1D)) as int))) as tinyint)))[0]",
     ),
+    "q8_dot": ("a ARRAY<TINYINT>, a_scale DOUBLE, b ARRAY<TINYINT>, b_scale DOUBLE", "DOUBLE", "aggregate(zip_with(a, b, (x, y) -> cast(x as bigint) * cast(y as bigint)), 0L, (s, x) -> s + x) * (a_scale * b_scale)"),
 }
 
 

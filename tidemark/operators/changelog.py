@@ -12,19 +12,34 @@ def latest(log: DataFrame, keys: list[str], order: Column | str, *, tombstone: C
     An aggregate, not a window: max_by is summed up before the shuffle, so a hot key costs a row for each task.
     """
     names = log.columns
-    best = log.groupBy(*keys).agg(F.max_by(F.struct(*names), order if isinstance(order, Column) else F.col(order)).alias("__row"))
-    out = best.select("__row.*")
+    rest = [c for c in names if c not in keys]
+    best = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), order if isinstance(order, Column) else F.col(order)).alias("__row"))
+    # keys come from the grouping, not from the struct, so that filters on them reach the scan
+    out = best.select(*(F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in names))
     return out if tombstone is None else out.where(~F.coalesce(tombstone, F.lit(False)))
 
 
-def revisions(log: DataFrame, key: str = "key", offset: str = "offset", deleted: str = "deleted") -> DataFrame:
+def revisions(log: DataFrame, key: str = "key", offset: str = "offset", deleted: str = "deleted", width: int = 1 << 16) -> DataFrame:
     """``log`` with ``revision``: 1 for the first put of a key, one more for each further put, and 1 again after a delete.
-    Deletes have a revision of null."""
-    along = Window.partitionBy(key).orderBy(offset)
-    island = F.sum(F.col(deleted).cast("int")).over(along)
-    held = log.withColumn("__island", island)
-    count = F.sum((~F.col(deleted)).cast("long")).over(Window.partitionBy(key, "__island").orderBy(offset))
-    return held.withColumn("revision", F.when(~F.col(deleted), count)).drop("__island")
+    Deletes have a revision of null.
+
+    A put's revision is the puts up to it less the puts up to the last delete before it.  A key's history is cut into
+    blocks of ``width`` offsets: running counts are taken within blocks, and what blocks before come to is added, so a
+    task sees a block of a hot key and not all of it.
+    """
+    cut = log.withColumn("__block", F.floor(F.col(offset) / width))
+    inside = Window.partitionBy(key, "__block").orderBy(offset)
+    put = (~F.col(deleted)).cast("long")
+    own = cut.withColumn("__own", F.sum(put).over(inside)).withColumn("__own_last", F.max(F.when(F.col(deleted), F.col("__own"))).over(inside))
+    blocks = cut.groupBy(F.col(key).alias("__key"), F.col("__block").alias("__at")).agg(F.sum(put).alias("__puts"))
+    # the puts of a block up to its last delete
+    lasts = own.groupBy(F.col(key).alias("__key"), F.col("__block").alias("__at")).agg(F.max("__own_last").alias("__last"))
+    upto = Window.partitionBy("__key").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.join(lasts, ["__key", "__at"]).withColumn("__before", F.coalesce(F.sum("__puts").over(upto), F.lit(0)))
+    blocks = blocks.withColumn("__cleared", F.coalesce(F.max(F.col("__before") + F.col("__last")).over(upto), F.lit(0)))
+    held = own.join(blocks, (F.col(key) == F.col("__key")) & (F.col("__block") == F.col("__at")))
+    last = F.greatest(F.col("__cleared"), F.coalesce(F.col("__before") + F.col("__own_last"), F.lit(0)))
+    return held.select(*log.columns, F.when(~F.col(deleted), F.col("__before") + F.col("__own") - last).alias("revision"))
 
 
 def live(state: DataFrame, now_ms: int | Column, column: str = "expires_at_ms") -> DataFrame:
@@ -65,18 +80,20 @@ def compacted(log: DataFrame, keys: list[str], id_column: str, order: str, delet
     return rows.repartition(*(keys or [id_column])).sortWithinPartitions(*keys, id_column) if keys else rows.repartitionByRange(id_column).sortWithinPartitions(id_column)
 
 
-def gaps(log: DataFrame, offset: str = "offset", partitions: int = 64) -> DataFrame:
+def gaps(log: DataFrame, offset: str = "offset", partitions: int | None = None, width: int = 1 << 20) -> DataFrame:
     """(from_offset, to_offset, dropped) of each hole between consecutive offsets.
 
-    Offsets are cut into ranges, gaps are found within each, and the ends of the ranges are compared: no task sees all
-    offsets.
+    Offsets are cut into ranges of ``width`` (or into so many ``partitions``), gaps are found within each, and the ends of the
+    ranges are compared: a task sees a range, and one the ends of all, a row for each ``width`` offsets.
     """
-    span = log.agg(F.min(offset).alias("lo"), F.max(offset).alias("hi"))
-    ranged = log.select(F.col(offset).alias("o")).crossJoin(F.broadcast(span))
-    cell = F.floor((F.col("o") - F.col("lo")) * partitions / (F.col("hi") - F.col("lo") + 1)).cast("int")
-    ranged = ranged.withColumn("cell", cell)
+    low = 0
+    if partitions is not None:
+        span = log.agg(F.min(offset).alias("lo"), F.max(offset).alias("hi")).first()
+        low = span.lo or 0
+        width = ((span.hi or 0) - low) // partitions + 1
+    ranged = log.select(F.col(offset).alias("o"), F.floor((F.col(offset) - low) / width).alias("cell"))
     inside = ranged.withColumn("before", F.lag("o").over(Window.partitionBy("cell").orderBy("o"))).select("before", "o")
-    ends = ranged.groupBy("cell").agg(F.min("o").alias("first"), F.max("o").alias("last"))  # ``partitions`` rows at most
+    ends = ranged.groupBy("cell").agg(F.min("o").alias("first"), F.max("o").alias("last"))
     between = ends.withColumn("before", F.lag("last").over(Window.orderBy("cell"))).select("before", F.col("first").alias("o"))
     holes = inside.union(between).where("o - before > 1")
     return holes.select((F.col("before") + 1).alias("from_offset"), (F.col("o") - 1).alias("to_offset"), (F.col("o") - F.col("before") - 1).alias("dropped"))

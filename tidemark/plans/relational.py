@@ -62,7 +62,7 @@ both("sql_distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM {customer}"
 
 # windows
 
-_W = "SELECT o_orderkey, {} FROM {{orders}} WHERE o_custkey < 300"
+_W = "SELECT o_orderkey, {} FROM {{orders}}"
 both("sql_window_rank", _W.format("row_number() OVER w AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr") + " WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)", _W.format("row_number() OVER w::INT AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority)::INT AS r, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority)::INT AS dr").replace("OVER w::INT", "OVER w") + " WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 both("sql_window_lag_lead", _W.format("lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, lead(o_totalprice, 2, CAST(0 AS DOUBLE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after"))
 both("sql_window_frames", _W.format("round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 2) AS near, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) AS recent"))
@@ -72,8 +72,8 @@ both("sql_window_percent", _W.format("round(percent_rank() OVER (PARTITION BY o_
 both(
     "sql_window_groups",
     # a frame of groups is one of ranges over the dense rank
-    "SELECT o_orderkey, sum(1) OVER (PARTITION BY o_custkey ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM (SELECT o_orderkey, o_custkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS g FROM {orders} WHERE o_custkey < 300)",
-    "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM {orders} WHERE o_custkey < 300",
+    "SELECT o_orderkey, sum(1) OVER (PARTITION BY o_custkey ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM (SELECT o_orderkey, o_custkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS g FROM {orders})",
+    "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM {orders}",
 )
 
 # set operations, order and limits
