@@ -149,3 +149,182 @@ def test_chunks(engine):
 def test_settings_are_clamped():
     s = IndexSettings(kind="other", clusters=1, nprobe=0, refine=0, min_train=0, retrain_min=0, degree=1, search_list=1).clamped()
     assert (s.kind, s.clusters, s.nprobe, s.refine, s.min_train, s.retrain_min, s.degree, s.search_list) == ("exact", 2, 1, 1, 2, 1, 4, 8)
+
+
+def explained(frame):
+    mode = frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return frame._jdf.queryExecution().explainString(mode)
+
+
+def test_offsets_go_on_after_compaction(engine, spark):
+    engine.state.put("a", 1)
+    engine.state.put("b", 1)
+    engine.state.delete("b")
+    assert engine.compact() == 2 and engine.last_offset() == 3
+    engine.state.put("c", 1)
+    assert [(r.offset, r.key) for r in engine.events.read(since=3).collect()] == [(4, "c")]
+    again = Engine(spark, engine.path)
+    assert again.last_offset() == 4 and [r.key for r in again.state.list().collect()] == ["a", "c"]
+    assert again.retain() == 3 and [(r.offset, r.key) for r in again.events.read().collect()] == [(1, "a"), (4, "c")]
+    assert again.state.put("b", 2)["revision"] == 1 and again.last_offset() == 5
+
+
+def test_reading_starts_from_the_snapshot(engine, spark):
+    engine.state.put("k", 1)
+    engine.doc.put("u", "1", {"name": "Ada"})
+    assert engine.snapshot() == 2 and engine.snapshot() == 2
+    engine.state.put("k", 2)
+    engine.state.put("new", 1)
+    engine.state.delete("new")
+    # the commits below the snapshot are gone, as after a loss: state is what the snapshot and the later commits say
+    for c in engine.files.commits()[:2]:
+        engine.files._fs.delete(engine.files._new(f"{engine.path}/log/{c.name}"), True)
+    again = Engine(spark, engine.path)
+    assert again.state.get("k")["revision"] == 2 and again.doc.get("u", "1")["doc"] == {"name": "Ada"}
+    assert again.state.get("new") is None and again.last_offset() == 5
+    # what died before its rename doesn't count
+    engine.files._fs.mkdirs(engine.files._new(f"{engine.path}/staging/dead"))
+    assert again.state.get("k")["value"] == 2 and again.retain() == 0
+
+
+def test_point_reads_reach_the_scan(engine):
+    engine.state.put("k", 1)
+    engine.snapshot()
+    engine.state.put("l", 1)
+    for frame in (engine.state.table(keys=["k"]), engine.state.table().where("key = 'k'")):
+        pushed = next(x for x in explained(frame).splitlines() if x.startswith("PushedFilters"))
+        assert "EqualTo(key,k)" in pushed and "EqualTo(store,state)" in pushed
+
+
+def test_maintenance(spark, tmp_path):
+    from tidemark.config import Maintenance
+
+    engine = Engine(spark, f"file://{tmp_path}", maintenance=Maintenance(snapshot_commits=3, deleted_share=0.4, least_events=8))
+    for i in range(5):
+        engine.state.put(f"k{i}", i)
+    assert engine.files.manifest()["snapshot_offset"] == 3 and engine.counters["snapshots"] == 1
+    for i in range(4):
+        engine.state.delete(f"k{i}")
+    stats = engine.stats()
+    assert stats["compactions"] == 1 and stats["base_offset"] == 9 and stats["events"] == 0
+    assert [r.key for r in engine.state.list().collect()] == ["k4"] and engine.state.get("k4")["revision"] == 1
+
+
+def test_documents_are_found_through_the_index(engine):
+    for i in range(6):
+        engine.doc.put("users", f"u{i}", {"role": "admin" if i % 2 else "user", "n": i})
+    assert engine.doc.candidates("users", {"role": "admin"}) is None  # no snapshot, no index
+    engine.snapshot()
+    engine.doc.put("users", "u0", {"role": "admin"})
+    engine.doc.put("users", "u1", {"role": "user"})
+    engine.doc.delete("users", "u3")
+    assert {r.id for r in engine.doc.candidates("users", {"role": "admin"}).collect()} == {"u0", "u1", "u3", "u5"}
+    assert [r.id for r in engine.doc.find("users", {"role": "admin"}).collect()] == ["u0", "u5"]
+    assert engine.doc.candidates("users", {"n": 1}) is None and [r.id for r in engine.doc.find("users", {"n": 4}).collect()] == ["u4"]
+
+
+def ring(n, dim=8):
+    import math
+
+    return [[math.cos(i * 6.2831 / n + j) + 0.01 * j for j in range(dim)] for i in range(n)]
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_cluster_index(spark, tmp_path, copies):
+    settings = IndexSettings(kind="ivf", clusters=8, nprobe=3, refine=40, min_train=50, retrain_min=120, copies=copies)
+    engine = Engine(spark, f"file://{tmp_path}")
+    v = engine.vector
+    v.create_collection("c", 8, index=settings)
+    assert v.train("c") is None and v.search("c", [1.0] * 8, 3).isEmpty()
+    items = [{"id": f"i{i:03}", "vector": x, "meta": {"part": "odd" if i % 2 else "even"}} for i, x in enumerate(ring(200))]
+    v.upsert_batch("c", items)
+    assert v.train("c").count() == 8 and v.index_status("c")["changed"] == 0
+    query = items[17]["vector"]
+    exact = [r.id for r in v.search("c", query, 5, kind="exact").collect()]
+    found = v.search("c", query, 5)
+    pruned = [x for x in explained(found).splitlines() if x.startswith("PartitionFilters")]
+    assert [r.id for r in found.collect()] == exact and any("cluster" in x for x in pruned)
+    # changes since are seen: a deleted item, a moved one, a new one
+    v.delete("c", exact[0])
+    v.upsert("c", exact[1], [-x for x in query])
+    v.upsert("c", "new", query, {"part": "odd"})
+    after = [r.id for r in v.search("c", query, 5).collect()]
+    assert after == [r.id for r in v.search("c", query, 5, kind="exact").collect()] and after[0] == "new" and exact[0] not in after
+    assert {r.id for r in v.search("c", query, 4, {"part": "odd"}).collect()} == {r.id for r in v.search("c", query, 4, {"part": "odd"}, kind="exact").collect()}
+    # compaction keeps telling the index what was deleted; another process finds it
+    engine.compact()
+    engine.retain()
+    again = Engine(spark, engine.path)
+    assert [r.id for r in again.vector.search("c", query, 5).collect()] == after and again.vector.settings("c") == settings.clamped()
+    # enough changes train anew
+    again.vector.upsert_batch("c", [{"id": f"j{i}", "vector": x} for i, x in enumerate(ring(150))])
+    assert again.counters["trainings"] == 1 and again.vector.index_status("c")["changed"] == 0
+    again.vector.drop_index("c")
+    assert not again.vector.index_status("c")["available"]
+
+
+def test_graph_outlives_the_process(spark, tmp_path, monkeypatch):
+    from tidemark.operators import graph
+
+    monkeypatch.setattr(graph, "SUBGRAPH", 16)
+    engine = Engine(spark, f"file://{tmp_path}")
+    engine.vector.create_collection("g", 8)
+    engine.vector.upsert_batch("g", [{"id": f"i{i:03}", "vector": x, "meta": i} for i, x in enumerate(ring(200))])
+    engine.vector.build_graph("g", 8, 32)
+    again = Engine(spark, engine.path)
+    assert again.vector.graph_status("g")["available"]
+    found = again.vector.search("g", ring(200)[5], 3, kind="graph").collect()
+    assert found[0].id == "i005" and json.loads(found[0].meta) == 5
+    again.vector.drop_graph("g")
+    assert not Engine(spark, engine.path).vector.graph_status("g")["available"]
+
+
+def test_frames(engine, spark):
+    v = engine.vector
+    v.create_collection("f", 2, "dot")
+    rows = spark.createDataFrame([(f"k{i}", [float(i), 1.0], json.dumps({"n": i})) for i in range(500)] + [("bad", [1.0], None), ("", [1.0, 1.0], None)], "id string, vector array<double>, meta string").repartition(5)
+    done = {r.id: r.status for r in v.upsert_frame("f", rows, fresh=True).collect()}
+    assert done["k3"] == "ok" and done["bad"] == "dim_mismatch" and done[""] == "invalid_argument"
+    assert engine.last_offset() == 501 and sorted(r.offset for r in engine.events.read(types="vector_added").collect()) == list(range(2, 502))
+    assert [round(x, 4) for x in v.get("f", "k1")["vector"]] == [0.7071, 0.7071]
+    assert v.upsert_frame("f", rows.where("id = 'k1'"), fresh=True).first().status == "already_exists" and engine.last_offset() == 501
+    status = v.update_frame("f", spark.createDataFrame([("k1", None, '{"n":-1}'), ("no", None, None)], "id string, vector array<float>, meta string"))
+    assert {r.id: r.status for r in status.collect()} == {"k1": "ok", "no": "not_found"}
+    assert v.get("f", "k1")["meta"] == {"n": -1} and round(v.get("f", "k1")["vector"][0], 4) == 0.7071
+    assert {r.id: r.status for r in v.delete_frame("f", spark.createDataFrame([("k1",), ("no",)], "id string")).collect()} == {"k1": "ok", "no": "not_found"}
+    assert v.info("f")["live"] == 499
+    ops = spark.createDataFrame([("a", "1", None), ("b", "2", 7), ("", "3", None), ("c", '"' + "x" * 70000 + '"', None)], "key string, value string, if_revision long")
+    assert {r.key: r.status for r in engine.state.put_frame(ops).collect()} == {"a": "created", "b": "revision_mismatch", "": "invalid_argument", "c": "payload_too_large"}
+    done = engine.state.put_frame(spark.createDataFrame([("a", "5", 1, 100)], "key string, value string, if_revision long, ttl_ms long"), at=1000).first()
+    assert (done.status, done.revision) == ("updated", 2) and engine.state.get("a", at=1099)["value"] == 5 and engine.state.get("a", at=1100) is None
+
+
+def test_statements(engine):
+    sql = engine.sql
+    run = lambda text, *values: sql.execute(text, values)["rows_affected"]
+    assert run("CREATE TABLE IF NOT EXISTS t (id INTEGER PRIMARY KEY, name VARCHAR(20) NOT NULL, price REAL, PRIMARY KEY (id))") == 0 == run("CREATE TABLE IF NOT EXISTS t (id INTEGER)")
+    assert run("INSERT INTO t (id, name) VALUES (?, ?), (2, 'b; ?')", 1, "it's") == 2
+    assert run("INSERT INTO t SELECT id + 10, name, 2.5 FROM t") == 2 and run("INSERT INTO t VALUES (5, NULL, 1)") == 1
+    parts = set(sql._version("t")["parts"])
+    assert run("UPDATE t SET price = price * ?, name = 'x, y WHERE z' WHERE id > ? AND price IS NOT NULL", 2, 10) == 2
+    # the parts without a hit stay
+    assert len(parts & set(sql._version("t")["parts"])) == 2
+    rows = sql.execute("SELECT id, name, price FROM t ORDER BY id")["rows"].collect()
+    assert [tuple(r) for r in rows] == [(1, "it's", None), (2, "b; ?", None), (5, None, 1.0), (11, "x, y WHERE z", 5.0), (12, "x, y WHERE z", 5.0)]
+    assert run("DELETE FROM t WHERE name = ? OR id = 5", "it's") == 2 and run("DELETE FROM t WHERE name = 'none'") == 0
+    assert run("DELETE FROM t") == 3 and sql.query("SELECT count(*) AS n FROM t").first().n == 0
+    run("DROP TABLE t")
+    assert code(sql.execute, "DROP TABLE t") == "not_found" and run("DROP TABLE IF EXISTS t") == 0
+    for bad in ("BEGIN", "CREATE TRIGGER x", "SELECT ?", "PRAGMA x"):
+        assert code(sql.execute, bad) == "sql_error"
+
+
+def test_dialect_in_queries(engine):
+    sql = engine.sql
+    sql.execute("CREATE TABLE n (a INT, b INT, s TEXT)")
+    sql.execute("INSERT INTO n VALUES (7, 2, 'Ab'), (-7, 2, 'ab'), (7, 0, NULL)")
+    rows = sql.query("SELECT a / b AS q, a % b AS r, a * 2 / b AS p, a / 2.0 AS f, s LIKE 'AB' AS l, s IS NULL AS z, max(a, b) AS m, iif(b > 0, 'y', 'n') AS i FROM n ORDER BY b DESC, a DESC").collect()
+    assert [tuple(r) for r in rows] == [(3, 1, 7, 3.5, True, False, 7, "y"), (-3, -1, -7, -3.5, True, False, 2, "y"), (None, None, None, 3.5, None, True, 7, "n")]
+    one = sql.query("SELECT total(a) AS t, total(a) / count(*) AS mean, group_concat(s) AS g, json_group_array(b) AS j, json_group_object(s, b) AS o FROM n WHERE b IS 2").first()
+    assert one.t == 0.0 and one.mean == 0.0 and sorted(one.g.split(",")) == ["Ab", "ab"] and json.loads(one.j) == [2, 2] and json.loads(one.o) == {"Ab": 2, "ab": 2}
+    assert sql.query("SELECT 'a/b' AS s -- a / b\n FROM n WHERE s = 'a/b'").isEmpty()

@@ -8,6 +8,7 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class Limits:
+    # fixed values
     max_k: int = 256
     max_dim: int = 4096
     max_key_len: int = 512
@@ -30,10 +31,22 @@ class Limits:
         return cls(**values)
 
 
+@dataclass(frozen=True)
+class Maintenance:
+    """What the engine does after commits; 0 switches a trigger off."""
+
+    snapshot_commits: int = 64
+    max_commits: int = 1024
+    kept_commits: int = 0
+    deleted_share: float = 0.3
+    least_events: int = 10_000
+
+
 @dataclass(frozen=True)
 class IndexSettings:
     """Settings of the cluster index and the graph index, clamped to what makes sense."""
 
+    # fixed values
     kind: str = "exact"
     clusters: int = 1024
     nprobe: int = 8
@@ -43,6 +56,8 @@ class IndexSettings:
     retrain_min: int = 5000
     degree: int = 48
     search_list: int = 128
+    #: Clusters that an item is kept in: those of its most similar centroids.
+    copies: int = 1
 
     def clamped(self) -> IndexSettings:
         clusters = max(2, self.clusters)
@@ -56,4 +71,5 @@ class IndexSettings:
             retrain_min=max(1, self.retrain_min),
             degree=min(max(4, self.degree), 1024),
             search_list=min(max(8, self.search_list), 65535),
+            copies=min(max(1, self.copies), clusters),
         )

@@ -1,8 +1,9 @@
 """The service as a Python object: state, documents, vectors, events, SQL, chunk search and hybrid search over one folder.
 
-Every change is an event of one log with ascending offsets (Parquet, a folder for each commit); states are folds over it.
-One writer at a time is assumed, as changes read the current state first; readers may be many.  Calls with batches are the
-way to write at scale: a commit is a Spark job whatever its size.
+Every change is an event of one log with ascending offsets (see `sources.logstore`); states are folds over the newest
+snapshot and the events after it.  One writer at a time is assumed, as changes read the current state first; readers may
+be many.  Frames are the way to write at scale (`put_frame`, `upsert_frame`, `delete_frame`): they are decided by joins and
+committed as one event range.  After a commit, what `config.Maintenance` asks for is done: snapshots, compaction, training.
 """
 
 from __future__ import annotations
@@ -11,19 +12,18 @@ import json
 import time
 import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import asdict
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import IndexSettings, Limits
+from .config import IndexSettings, Limits, Maintenance
 from .errors import EngineError, require
 from .functions import jsons
 from .functions import vectors as V
-from .operators import changelog, graph, hybrid, ivf, postings, rag, search, sqlapi
-
-LOG = "offset long, ts_ms long, type string, store string, collection string, key string, value string, vector array<float>, expires_at_ms long, revision long, deleted boolean, reason string"
-
+from .operators import batches, changelog, graph, hybrid, ivf, postings, rag, search, sqlapi
+from .sources.logstore import LOG, LogStore
 
 class BaseEngine(Protocol):
     """What the hybrid engine needs of a part."""
@@ -38,83 +38,89 @@ def now_ms() -> int:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, limits: Limits | None = None, index: IndexSettings | None = None):
+    def __init__(self, spark: SparkSession, path: str, limits: Limits | None = None, index: IndexSettings | None = None, maintenance: Maintenance | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         self.limits, self.settings = limits or Limits.resolve(), (index or IndexSettings()).clamped()
+        self.maintenance = maintenance or Maintenance()
+        self.files = LogStore(spark, self.path)
         self.state, self.doc, self.vector = State(self), Docs(self), Vectors(self)
         self.events, self.sql, self.rag = Events(self), sqlapi.Tables(spark, f"{self.path}/sql"), Chunks(self)
-        self.counters: dict[str, int] = {"state_writes": 0, "vector_writes": 0, "vector_searches": 0, "doc_writes": 0}
+        self.counters: dict[str, int] = {"state_writes": 0, "vector_writes": 0, "vector_searches": 0, "doc_writes": 0, "snapshots": 0, "compactions": 0, "trainings": 0}
 
     # the log
 
     def log(self) -> DataFrame:
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder) or not fs.listStatus(folder):
-            return self.spark.createDataFrame([], LOG)
-        return self.spark.read.schema(LOG).parquet(f"{self.path}/log/*")
+        return self.files.log()
 
     def last_offset(self) -> int:
-        return self.log().agg(F.max("offset")).first()[0] or 0
+        return self.files.last_offset()
 
     def commit(self, rows: Sequence[Mapping[str, Any]], at: int | None = None) -> list[int]:
         """Append events; their offsets."""
         if not rows:
             return []
-        first = self.last_offset() + 1
-        names = [f.split()[0] for f in LOG.split(", ")]
-        full = [{"ts_ms": at if at is not None else now_ms(), "deleted": False} | dict(r) | {"offset": first + i} for i, r in enumerate(rows)]
-        self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in full], LOG).coalesce(1).write.parquet(f"{self.path}/log/{first:018d}-{uuid.uuid4().hex[:8]}")
-        return [r["offset"] for r in full]
-
-    def store(self, name: str) -> DataFrame:
-        """The latest live event of each (collection, key)."""
-        own = self.log().where(F.col("store") == name)
-        return changelog.latest(own, ["collection", "key"], "offset", tombstone=F.col("deleted"))
+        done = self.files.append([{"ts_ms": at if at is not None else now_ms(), "deleted": False} | dict(r) for r in rows])
+        self.maintain()
+        return done
+
+    def commit_frame(self, rows: DataFrame, order: Sequence[str] = ("collection", "key"), at: int | None = None) -> int:
+        """Append a frame of events (columns of the log but offset); their number."""
+        stamp = F.lit(at if at is not None else now_ms())
+        _, n = self.files.append_frame(rows.withColumn("ts_ms", stamp), order)
+        if n:
+            self.maintain()
+        return n
+
+    def store(self, name: str, collection: str | None = None, keys: Sequence[str] | None = None, prefix: str | None = None) -> DataFrame:
+        """The latest live event of each (collection, key), or of those asked for alone."""
+        return self.files.state(name, collection, keys, prefix)
 
     def health(self) -> dict:
         return {"status": "ok", "last_offset": self.last_offset()}
 
+    def stats(self) -> dict:
+        """Health, counters, and what the log, its snapshot and its indexes are."""
+        m, commits = self.files.manifest(), self.files.commits()
+        indexes = {name: {"kind": x["kind"], "offset": x["offset"]} for name, x in m["indexes"].items()}
+        return self.health() | self.counters | {"commits": len(commits), "events": sum(c.events for c in commits), "snapshot_offset": m["snapshot_offset"], "base_offset": m["base_offset"], "indexes": indexes}
+
     def metrics(self) -> str:
         return "".join(f"tidemark_{k} {v}\n" for k, v in self.counters.items()) + f"tidemark_last_offset {self.last_offset()}\n"
 
+    def maintain(self) -> list[str]:
+        """What the settings ask for after a commit: a compaction if there are too many commits or deletions since the last one, else
+        a snapshot if there are many since that one; training where enough vectors changed.  What was done."""
+        s, m, done = self.maintenance, self.files.manifest(), []
+        runs = self.files.commits(m["base_offset"])
+        events, gone = sum(c.events for c in runs), sum(c.deleted for c in runs)
+        if len(runs) > s.max_commits > 0 or (events >= s.least_events and s.deleted_share > 0 and gone >= s.deleted_share * events):
+            self.compact()
+            self.retain(s.kept_commits)
+            done.append("compact")
+        elif s.snapshot_commits and sum(c.last > m["snapshot_offset"] for c in runs) >= s.snapshot_commits:
+            self.snapshot()
+            done.append("snapshot")
+        for name, index in m["indexes"].items():
+            # the names of commits bound the changes; only if they are many enough the log is read
+            if index["kind"] == "ivf" and sum(c.events for c in self.files.commits(index["offset"])) >= index["settings"]["retrain_min"]:
+                changes = self.files.log(index["offset"]).where((F.col("store") == "vector") & (F.col("collection") == name) & ~F.col("deleted")).count()
+                if changes >= index["settings"]["retrain_min"] and self.vector.train(name) is not None:
+                    done.append(f"train {name}")
+        return done
+
     def compact(self) -> int:
-        """Rewrite the log to the latest event of each key, deleted ones left out; the number of events dropped."""
-        log = self.log()
-        kept = changelog.latest(log, ["store", "collection", "key"], "offset", tombstone=F.col("deleted"))
-        before, path = log.count(), f"{self.path}/log"
-        if not before:
-            return 0
-        staged = f"{self.path}/compacted-{uuid.uuid4().hex[:8]}"
-        kept.repartition("store").sortWithinPartitions("collection", "key").write.parquet(f"{staged}/{self.last_offset():018d}-all")
-        jvm = self.spark.sparkContext._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/old-{uuid.uuid4().hex[:8]}")
-        fs.rename(jvm.org.apache.hadoop.fs.Path(path), old)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path))
-        fs.delete(old, True)
-        return before - self.log().count()
+        """Keep the latest event of each key alone, deleted ones left out; the number of events dropped."""
+        self.counters["compactions"] += 1
+        return self.files.compact()
 
     def snapshot(self) -> int:
-        """Write the offset up to which the log has been folded; the number."""
-        last = self.last_offset()
-        self.spark.createDataFrame([(last, now_ms())], "last_offset long, ts_ms long").coalesce(1).write.mode("overwrite").json(f"{self.path}/snapshot")
-        return last
-
-    def retain(self, commits: int) -> int:
-        """Of the commits that the snapshot and later rewrites no longer need, keep the newest ``commits``; how many went.
+        """Write the folded state, from which reads begin from now on; the offset up to which it goes."""
+        self.counters["snapshots"] += 1
+        return self.files.snapshot()
 
-        The log is the store here, so nothing goes before `compact` has rewritten it: only commits below the newest rewrite.
-        """
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = sorted(str(s.getPath().getName()) for s in fs.listStatus(folder)) if fs.exists(folder) else []
-        whole = max((i for i, n in enumerate(names) if n.endswith("-all")), default=0)
-        old = names[: min(whole, max(len(names) - commits, 0))]
-        for n in old:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{n}"), True)
-        return len(old)
+    def retain(self, commits: int = 0) -> int:
+        """Remove commits that the compacted log no longer needs, but the newest ``commits``; how many went."""
+        return self.files.vacuum(commits)
 
     # hybrid
 
@@ -129,9 +135,7 @@ class Engine:
 
         def sql_leg() -> DataFrame:
             rows = self.sql.query(request["sql"], request.get("params", ()))
-            payload = jsons.json_rows(rows).withColumn("n", F.monotonically_increasing_id())
-            ids = payload.select("n", F.get_json_object("row", "$.id").alias("id"), F.col("row").alias("payload"))
-            return hybrid.ranked(ids, "n").select("id", "rank", "payload")
+            return hybrid.in_order(jsons.json_rows(rows).select(F.get_json_object("row", "$.id").alias("id"), F.col("row").alias("payload")))
 
         if kind == "vector":
             return vector_leg()
@@ -146,18 +150,17 @@ class State:
     def __init__(self, engine: Engine):
         self.engine = engine
 
-    def table(self, at: int | None = None) -> DataFrame:
-        rows = self.engine.store("state").select("key", "value", "revision", "expires_at_ms")
+    def table(self, at: int | None = None, keys: Sequence[str] | None = None, prefix: str | None = None) -> DataFrame:
+        rows = self.engine.store("state", "", keys, prefix).select("key", "value", "revision", "expires_at_ms")
         return changelog.live(rows, at if at is not None else now_ms())
 
     def get(self, key: str, at: int | None = None) -> dict | None:
-        row = self.table(at).where(F.col("key") == key).first()
+        row = self.table(at, [key]).first()
         return row and _item(row)
 
     def list(self, prefix: str | None = None, limit: int | None = None, at: int | None = None) -> DataFrame:
         limit = min(limit if limit is not None else self.engine.limits.list_default, self.engine.limits.list_cap)
-        rows = self.table(at)
-        return (rows.where(F.col("key").startswith(prefix)) if prefix else rows).orderBy("key").limit(limit)
+        return self.table(at, prefix=prefix).orderBy("key").limit(limit)
 
     def put(self, key: str, value: Any, ttl_ms: int | None = None, if_revision: int | None = None, at: int | None = None) -> dict:
         done = self.batch_put([{"key": key, "value": value, "ttl_ms": ttl_ms, "if_revision": if_revision}], at)[0]
@@ -170,7 +173,7 @@ class State:
         limits, at = self.engine.limits, at if at is not None else now_ms()
         require(len(ops) <= limits.max_state_batch, "invalid_argument", "too many operations")
         keys = list({op["key"] for op in ops})
-        now = {r.key: r.revision for r in self.table(at).where(F.col("key").isin(keys)).collect()}
+        now = {r.key: r.revision for r in self.table(at, keys).collect()}
         rows, results = [], []
         for op in ops:
             text = json.dumps(op["value"])
@@ -194,6 +197,19 @@ class State:
         self.engine.counters["state_writes"] += len(rows)
         return results
 
+    def put_frame(self, ops: DataFrame, at: int | None = None) -> DataFrame:
+        """Puts of a frame of any size (key, value as JSON; ttl_ms and if_revision where there are such columns; one row for each
+        key): (key, status, revision), see `operators.batches.put`.  What is allowed is committed."""
+        limits, at = self.engine.limits, at if at is not None else now_ms()
+        done = batches.put(ops, self.table(at), limits.max_key_len, limits.max_json_bytes)
+        expires = (F.lit(at) + F.col("ttl_ms")).cast("long") if "ttl_ms" in ops.columns else F.lit(None).cast("long")
+        done = done.select("key", "value", "status", "revision", expires.alias("expires_at_ms"))
+        # the statuses are of the state before the commit
+        done = self.engine.spark.read.schema(done.schema).parquet(self.engine.files.write(done, f"statuses/{uuid.uuid4().hex}"))
+        rows = done.where("revision IS NOT NULL").select(F.lit("state_updated").alias("type"), F.lit("state").alias("store"), F.lit("").alias("collection"), "key", "value", "revision", "expires_at_ms")
+        self.engine.counters["state_writes"] += self.engine.commit_frame(rows, ("key",), at)
+        return done.select("key", "status", "revision")
+
     def delete(self, key: str, reason: str | None = None, at: int | None = None) -> bool:
         if self.get(key, at) is None:
             return False
@@ -218,8 +234,8 @@ class Docs:
     def __init__(self, engine: Engine):
         self.engine = engine
 
-    def table(self, collection: str) -> DataFrame:
-        rows = self.engine.store("doc").where(F.col("collection") == collection)
+    def table(self, collection: str, ids: Sequence[str] | None = None) -> DataFrame:
+        rows = self.engine.store("doc", collection, ids)
         return rows.select(F.col("key").alias("id"), F.col("value").alias("doc"), "revision")
 
     def put(self, collection: str, id: str, doc: Mapping) -> dict:
@@ -232,7 +248,7 @@ class Docs:
         return {"id": id, "doc": dict(doc), "revision": revision}
 
     def get(self, collection: str, id: str) -> dict | None:
-        row = self.table(collection).where(F.col("id") == id).first()
+        row = self.table(collection, [id]).first()
         return row and {"id": row.id, "doc": json.loads(row.doc), "revision": row.revision}
 
     def delete(self, collection: str, id: str) -> bool:
@@ -249,7 +265,11 @@ class Docs:
         docs = self.table(collection)
         if filter is None:
             return docs.orderBy("id").limit(limit)
-        return postings.find(docs, None, dict(filter), limit)
+        return postings.among(docs, self.candidates(collection, filter)).where(jsons.matches(F.col("doc"), dict(filter))).orderBy("id").limit(limit)
+
+    def candidates(self, collection: str, filter: Mapping) -> DataFrame | None:
+        """Ids that the index leaves for a filter; None if it can't answer."""
+        return self.engine.files.candidates("doc", collection, filter) if postings.usable(dict(filter)) else None
 
 
 class Vectors:
@@ -257,22 +277,26 @@ class Vectors:
 
     def __init__(self, engine: Engine):
         self.engine = engine
-        self._graphs: dict[str, tuple[str, int, IndexSettings]] = {}
 
     # catalogue
 
-    def create_collection(self, collection: str, dim: int, metric: str = "cosine") -> None:
+    def create_collection(self, collection: str, dim: int, metric: str = "cosine", index: IndexSettings | None = None) -> None:
+        """``index`` is kept with the collection; without it the engine's settings count."""
         limits = self.engine.limits
         require(0 < len(collection) <= limits.max_collection_len and 0 < dim <= limits.max_dim, "invalid_argument")
         require(metric in ("cosine", "dot"), "invalid_argument", f"metric: {metric}")
         require(self._manifest(collection) is None, "already_exists", collection)
-        value = json.dumps({"dim": dim, "metric": metric, "created_at_ms": now_ms()})
+        value = json.dumps({"dim": dim, "metric": metric, "created_at_ms": now_ms(), "index": index and asdict(index.clamped())})
         self.engine.commit([{"type": "vector_collection_created", "store": "collection", "collection": "", "key": collection, "value": value}])
 
     def _manifest(self, collection: str) -> dict | None:
-        row = self.engine.store("collection").where(F.col("key") == collection).first()
+        row = self.engine.store("collection", "", [collection]).first()
         return row and json.loads(row.value)
 
+    def settings(self, collection: str) -> IndexSettings:
+        found = self._need(collection).get("index")
+        return IndexSettings(**found) if found else self.engine.settings
+
     def _need(self, collection: str) -> dict:
         found = self._manifest(collection)
         require(found is not None, "not_found", collection)
@@ -283,21 +307,20 @@ class Vectors:
         log = self.engine.log().where("store = 'vector'")
         counts = changelog.stats(log, ["collection"], "key", "offset")
         manifests = self.engine.store("collection").select(F.col("key").alias("collection"), F.get_json_object("value", "$.dim").cast("int").alias("dim"), F.get_json_object("value", "$.metric").alias("metric"))
-        both = manifests.join(counts, "collection", "full_outer")
-        zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("live", "records", "upserts", "dead", "applied_offset")]
-        return both.select("collection", "dim", "metric", *zero).orderBy("collection")
+        numbers = ["live", "records", "upserts", "dead", "applied_offset"]
+        return batches.catalogue(manifests, counts, numbers).select("collection", "dim", "metric", *numbers)
 
     def info(self, collection: str) -> dict:
         self._need(collection)
         return self.list().where(F.col("collection") == collection).first().asDict()
 
-    def table(self, collection: str) -> DataFrame:
-        rows = self.engine.store("vector").where(F.col("collection") == collection)
+    def table(self, collection: str, ids: Sequence[str] | None = None) -> DataFrame:
+        rows = self.engine.store("vector", collection, ids)
         return rows.select(F.col("key").alias("id"), "vector", F.col("value").alias("meta"))
 
     def get(self, collection: str, id: str) -> dict | None:
         self._need(collection)
-        row = self.table(collection).where(F.col("id") == id).first()
+        row = self.table(collection, [id]).first()
         return row and {"id": row.id, "vector": list(row.vector), "meta": json.loads(row.meta)}
 
     # changes
@@ -347,64 +370,174 @@ class Vectors:
     def delete_batch(self, collection: str, ids: Sequence[str]) -> list[dict]:
         self._need(collection)
         require(len(ids) <= self.engine.limits.max_vector_batch, "invalid_argument", "too many ids")
-        have = {r.id for r in self.table(collection).where(F.col("id").isin(list(ids))).select("id").collect()}
+        have = {r.id for r in self.table(collection, ids).select("id").collect()}
         self.engine.commit([{"type": "vector_deleted", "store": "vector", "collection": collection, "key": i, "deleted": True} for i in dict.fromkeys(ids) if i in have])
         return [{"id": i, "status": "ok"} if i in have else {"id": i, "status": "error", "error": "not_found"} for i in ids]
 
+    def _frame(self, collection: str, rows: DataFrame, type_: str) -> int:
+        n = self.engine.commit_frame(rows.withColumns({"type": F.lit(type_), "store": F.lit("vector"), "collection": F.lit(collection)}), ("key",))
+        self.engine.counters["vector_writes"] += n
+        return n
+
+    def _statuses(self, done: DataFrame) -> DataFrame:
+        return self.engine.spark.read.schema(done.schema).parquet(self.engine.files.write(done, f"statuses/{uuid.uuid4().hex}"))
+
+    def upsert_frame(self, collection: str, items: DataFrame, fresh: bool = False) -> DataFrame:
+        """Upserts (with ``fresh``: adds) of a frame of any size (id, vector, meta as JSON; one row for each id): (id, status),
+        where status is ok, dim_mismatch, invalid_argument, payload_too_large or already_exists.  What is ok is committed."""
+        manifest, limits = self._need(collection), self.engine.limits
+        bad = (
+            F.when(F.coalesce(F.size("vector"), F.lit(-1)) != manifest["dim"], "dim_mismatch")
+            .when(F.coalesce(F.length("id"), F.lit(0)).isin(0) | (F.length("id") > limits.max_id_len), "invalid_argument")
+            .when(F.octet_length("meta") > limits.max_json_bytes, "payload_too_large")
+        )
+        rows = items.select("id", F.col("vector").cast("array<float>").alias("vector"), F.coalesce("meta", F.lit("null")).alias("meta"))
+        if fresh:
+            rows = batches.add(rows, self.table(collection))
+        known = F.when(F.col("status") == "already_exists", F.col("status")) if fresh else F.lit(None).cast("string")
+        done = self._statuses(rows.withColumn("status", F.coalesce(bad, known, F.lit("ok"))))
+        vector = V.l2_normalize(F.col("vector")).cast("array<float>") if manifest["metric"] == "dot" else F.col("vector")
+        self._frame(collection, done.where("status = 'ok'").select(F.col("id").alias("key"), vector.alias("vector"), F.col("meta").alias("value")), "vector_added" if fresh else "vector_upserted")
+        return done.select("id", "status")
+
+    def update_frame(self, collection: str, updates: DataFrame) -> DataFrame:
+        """Updates of a frame of any size (id, vector, meta; null: keep): (id, status), ok or not_found."""
+        current = self.table(collection)
+        done = self._statuses(batches.delete_status(updates.select("id"), current))
+        new = batches.update(current, updates, ["vector", "meta"]).where("updated").select(F.col("id").alias("key"), "vector", F.col("meta").alias("value"))
+        self._frame(collection, new, "vector_updated")
+        return done
+
+    def delete_frame(self, collection: str, ids: DataFrame) -> DataFrame:
+        """Deletes of a frame of any size (id): (id, status), ok or not_found."""
+        self._need(collection)
+        done = self._statuses(batches.delete_status(ids.select("id").distinct(), self.table(collection)))
+        self._frame(collection, done.where("status = 'ok'").select(F.col("id").alias("key"), F.lit(True).alias("deleted")), "vector_deleted")
+        return done
+
     # search
 
-    def search(self, collection: str, vector: Sequence[float], k: int, filters: Mapping | None = None, include_meta: bool = True, checked: bool = True) -> DataFrame:
-        """(id, score, meta): exact, after the filter; best first, ties by id."""
+    def search(self, collection: str, vector: Sequence[float], k: int, filters: Mapping | None = None, include_meta: bool = True, checked: bool = True, kind: str | None = None) -> DataFrame:
+        """(id, score, meta), best first, ties by id, after the filter.
+
+        ``kind`` is exact, ivf or graph, by default the collection's own; where there is no such index, or not one that can
+        answer (a graph that changes have outrun, or that would have to filter), the search is exact.
+        """
         manifest = self._need(collection)
         require(not checked or 0 < k <= self.engine.limits.max_k, "invalid_argument", f"k: {k}")
         require(len(vector) == manifest["dim"], "dim_mismatch")
         self.engine.counters["vector_searches"] += 1
-        items = self.table(collection).where(jsons.matches(F.col("meta"), filters if filters is None else dict(filters)))
-        found = search.exact(items, search.literal(vector), k, manifest["metric"])
+        kind = kind or self.settings(collection).kind
+        index = self._index(collection)
+        if kind == "ivf" and index:
+            found = self._probe(collection, index, vector, k, filters)
+        elif kind == "graph" and not filters and self.graph_status(collection)["available"]:
+            found = self._walk(collection, vector, k)
+        else:
+            items = self.table(collection)
+            if filters:
+                wanted = dict(filters)
+                ids = self.engine.files.candidates("vector", collection, wanted) if postings.usable(wanted) else None
+                items = postings.among(items, ids)
+            items = items.where(jsons.matches(F.col("meta"), filters if filters is None else dict(filters)))
+            found = search.exact(items, search.literal(vector), k, manifest["metric"])
         return found.select("id", "score", "meta") if include_meta else found.select("id", "score")
 
-    def numbered(self, collection: str) -> DataFrame:
-        """The collection with ids as numbers of rows in the order of ids, as the indexes need; key is the id."""
-        return self.table(collection).select(F.xxhash64("id").alias("id"), F.col("id").alias("key"), "vector")
+    # cluster index
+
+    def _index(self, name: str) -> dict | None:
+        return self.engine.files.manifest()["indexes"].get(name)
+
+    def _keep(self, name: str, index: dict | None) -> None:
+        known = dict(self.engine.files.manifest()["indexes"])
+        if index is None:
+            known.pop(name, None)
+        else:
+            known[name] = index
+        self.engine.files.switch(indexes=known)
 
     def train(self, collection: str) -> DataFrame | None:
-        return ivf.train(self.numbered(collection), self.engine.settings)
+        """Build the cluster index and keep it: centroids, and the items with their codes laid out by cluster.  The centroids, or
+        None if there are too few items."""
+        settings, last = self.settings(collection), self.engine.last_offset()
+        items = self.table(collection).where(F.size("vector") == self._need(collection)["dim"])
+        centroids = ivf.train(items, settings)
+        if centroids is None:
+            return None
+        folder = f"{self.engine.path}/index/{uuid.uuid4().hex}"
+        centroids.coalesce(1).write.parquet(f"{folder}/centroids")
+        kept = self.engine.spark.read.schema(centroids.schema).parquet(f"{folder}/centroids")
+        assigned = ivf.assign(items, kept, settings.copies)
+        if "nearer" not in assigned.columns:
+            assigned = assigned.withColumn("nearer", F.array().cast("array<int>"))
+        ivf.write(ivf.coded(assigned), f"{folder}/items")
+        self._keep(collection, {"kind": "ivf", "folder": folder, "offset": last, "settings": asdict(settings.clamped())})
+        self.engine.counters["trainings"] += 1
+        return kept
+
+    def _probe(self, collection: str, index: dict, vector: Sequence[float], k: int, filters: Mapping | None) -> DataFrame:
+        """The index's clusters next to the query, and exactly what changed since it was built."""
+        settings, spark = IndexSettings(**index["settings"]), self.engine.spark
+        query = search.literal(vector)
+        items = spark.read.schema(ivf.LAYOUT).parquet(f"{index['folder']}/items")
+        centroids = spark.read.schema("cluster int, centroid array<double>").parquet(f"{index['folder']}/centroids")
+        changed = self.engine.files.changed("vector", collection, index["offset"])
+        wanted = jsons.matches(F.col("meta"), filters if filters is None else dict(filters))
+        near = ivf.near(items, centroids, query, settings).join(changed.select(F.col("key").alias("id")), "id", "left_anti").where(wanted)
+        fresh = changed.where(~F.col("deleted")).select(F.col("key").alias("id"), "vector", F.col("value").alias("meta")).where(wanted)
+        old = ivf.shortlisted(near, query, max(settings.refine, k)).select("id", "vector", "meta")
+        return search.exact(old.unionByName(fresh), query, k)
+
+    def index_status(self, collection: str) -> dict:
+        """Whether there is a cluster index, and how many items changed since it was built."""
+        index = self._index(collection)
+        if not index:
+            return {"available": False}
+        return {"available": True, "offset": index["offset"], "changed": self.engine.files.changed("vector", collection, index["offset"]).count()} | index["settings"]
+
+    def drop_index(self, collection: str) -> None:
+        self._keep(collection, None)
 
     # graph index
 
     def build_graph(self, collection: str, degree: int = 48, search_list: int = 128) -> dict:
-        self._need(collection)
         settings = IndexSettings(kind="graph", degree=degree, search_list=search_list).clamped()
-        path = f"{self.engine.path}/graph/{uuid.uuid4().hex}"
-        graph.build(self.numbered(collection), settings).write.parquet(path)
-        self._graphs[collection] = (path, self.engine.last_offset(), settings)
+        last, dim = self.engine.last_offset(), self._need(collection)["dim"]
+        folder = f"{self.engine.path}/graph/{uuid.uuid4().hex}"
+        graph.write(graph.build(self.table(collection).where(F.size("vector") == dim), settings), folder)
+        self._keep(f"{collection}/graph", {"kind": "graph", "folder": folder, "offset": last, "settings": asdict(settings)})
         return self.graph_status(collection)
 
     def tune_graph(self, collection: str, search_list: int) -> dict:
-        require(collection in self._graphs, "not_found", collection)
-        path, version, old = self._graphs[collection]
-        self._graphs[collection] = (path, version, IndexSettings(kind="graph", degree=old.degree, search_list=search_list).clamped())
+        index = self._index(f"{collection}/graph")
+        require(index is not None, "not_found", collection)
+        settings = IndexSettings(**(index["settings"] | {"search_list": search_list})).clamped()
+        self._keep(f"{collection}/graph", index | {"settings": asdict(settings)})
         return self.graph_status(collection)
 
     def graph_status(self, collection: str) -> dict:
         """Whether the graph is there and no vector has changed since."""
-        if collection not in self._graphs:
+        index = self._index(f"{collection}/graph")
+        if not index:
             return {"available": False}
-        path, version, settings = self._graphs[collection]
-        changed = self.engine.log().where((F.col("store") == "vector") & (F.col("collection") == collection) & (F.col("offset") > version))
-        return {"available": changed.isEmpty(), "degree": settings.degree, "search_list": settings.search_list}
+        changed = self.engine.files.changed("vector", collection, index["offset"])
+        return {"available": changed.isEmpty(), "degree": index["settings"]["degree"], "search_list": index["settings"]["search_list"]}
 
     def drop_graph(self, collection: str) -> None:
-        self._graphs.pop(collection, None)
+        self._keep(f"{collection}/graph", None)
+
+    def _walk(self, collection: str, vector: Sequence[float], k: int) -> DataFrame:
+        index = self._index(f"{collection}/graph")
+        found = graph.topk(graph.read(self.engine.spark, index["folder"]), search.literal(vector), k, IndexSettings(**index["settings"]))
+        # k rows
+        rows = {r.id: r.score for r in found.collect()}
+        meta = self.table(collection, list(rows)).select("id", "meta")
+        scores = self.engine.spark.createDataFrame(list(rows.items()), "id string, score double")
+        return search.top(scores.join(meta, "id"), k)
 
     def graph_search(self, collection: str, vector: Sequence[float], k: int) -> DataFrame:
         """Through the graph if it is available, else exactly."""
-        if not self.graph_status(collection)["available"]:
-            return self.search(collection, vector, k, include_meta=False)
-        path, _, settings = self._graphs[collection]
-        found = graph.topk(self.engine.spark.read.parquet(path), search.literal(vector), k, settings)
-        names = self.numbered(collection).select("id", "key")
-        return search.top(found.join(names, "id").select(F.col("key").alias("id"), "score"), k)
+        return self.search(collection, vector, k, include_meta=False, kind="graph")
 
 
 class Events:
@@ -414,7 +547,7 @@ class Events:
         self.engine = engine
 
     def read(self, since: int = 0, types: str | None = None, key_prefix: str | None = None, collection: str | None = None) -> DataFrame:
-        out = self.engine.log().where(F.col("offset") > since)
+        out = self.engine.files.log(since)
         if types is not None:
             out = out.where(F.col("type").isin([t.strip() for t in types.split(",") if t.strip()]))
         if key_prefix is not None:
@@ -440,7 +573,7 @@ class Chunks:
     def ingest(self, chunks: DataFrame) -> None:
         """Append chunks (id, vector, content, metadata); offsets ascend in the order of rows."""
         last = self.table().agg(F.max("offset")).first()[0]
-        numbered = chunks.withColumn("offset", F.monotonically_increasing_id() + (0 if last is None else last + 1))
+        numbered = chunks.withColumn("offset", F.monotonically_increasing_id() + (0 if last is None else last + 1))  # ascending, with holes
         numbered.select("offset", "id", "vector", "content", "metadata").write.mode("append").parquet(self._path())
 
     def table(self) -> DataFrame:

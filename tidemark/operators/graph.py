@@ -1,24 +1,39 @@
-"""Graph index: a neighbour table built by partition, searched best-first by rounds of joins.
+"""Graph index: neighbour tables of regions of the space, searched best-first from the regions next to a query.
 
-The graph is a table (node, neighbours).  Each partition links its items to their ``degree`` most similar ones, pruned for
-diversity; a search starts from the partitions' medoids and expands the best ``search_list`` nodes until none is new.
-Partitions hold whole subgraphs, so building needs no node outside its own partition.
+Items are cut into regions of about ``SUBGRAPH`` by their nearest centroid.  Each region links its items to their most
+similar ones, pruned for diversity, and is a folder of its own once written; a small table has each region's
+centroid and medoid.  A search reads the regions whose centroids are next to the query alone, walks each from its medoid and
+scores no node but those that it visits.
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import IndexSettings
 from ..session import ship
-from . import search
+from . import ivf, search
 
+# fixed values
 NEAR = 0.98
-#: Items of a subgraph; its similarity matrix has this size squared.
+
+#: Items of a region; its similarity matrix has this size squared.
 SUBGRAPH = 2048
+#: Items from which the regions' centroids are learned.
+SAMPLE = 100_000
+
+
+class Graph(NamedTuple):
+    """nodes: part, n, id, vector, neighbours (numbers n of the same part), entry; regions: part, centroid."""
+
+    nodes: DataFrame
+    regions: DataFrame
 
 
 def prune(order: np.ndarray, similarity: np.ndarray, degree: int) -> list[int]:
@@ -38,11 +53,27 @@ def prune(order: np.ndarray, similarity: np.ndarray, degree: int) -> list[int]:
     return kept
 
 
+def _regions(items: DataFrame) -> DataFrame:
+    """``items`` with ``part``; a region that comes out too large (as of equal vectors) is split by a hash of the id."""
+    wanted = -(-items.count() // SUBGRAPH)
+    if wanted <= 1:
+        return items.withColumn("part", F.lit(0))
+    sample = items.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toPandas()["vector"].tolist()
+    found = ivf.kmeans(np.array(sample), wanted)
+    centroids = items.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(found)], "cluster int, centroid array<double>")
+    cut = ivf.assign(items, centroids)
+    sizes = {r.cluster: r.n for r in cut.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # a row for each region
+    splits = {c: -(-n // (2 * SUBGRAPH)) for c, n in sizes.items()}
+    widest = max(splits.values())
+    pieces = F.create_map(*(F.lit(x) for c, n in splits.items() for x in (c, n)))[F.col("cluster")]
+    return cut.withColumn("part", (F.col("cluster") * widest + F.pmod(F.xxhash64("id"), pieces)).cast("int")).drop("cluster")
+
+
 def build(items: DataFrame, settings: IndexSettings) -> DataFrame:
-    """(part, id, vector, neighbours, entry): each subgraph of about SUBGRAPH items; ``entry`` marks its medoid."""
+    """(part, n, id, vector, neighbours, entry) of ``items`` (id, vector); ``entry`` marks a region's medoid."""
     s = settings.clamped()
     ship(items.sparkSession)
-    parts = max(1, -(-items.count() // SUBGRAPH))
+    kind = items.schema["id"].dataType.simpleString()
 
     def run(_, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", ignore_index=True)
@@ -50,50 +81,71 @@ def build(items: DataFrame, settings: IndexSettings) -> DataFrame:
         n = np.linalg.norm(x, axis=1, keepdims=True)
         x = x / np.where(n > 0, n, 1)
         sim = x @ x.T
-        ids = frame["id"].to_numpy()
-        links: list[set[int]] = [set() for _ in ids]
-        for i in range(len(ids)):
+        links: list[set[int]] = [set() for _ in range(len(x))]
+        for i in range(len(x)):
             near = np.argsort(-sim[i], kind="stable")
             near = near[near != i][: s.search_list]
             for j in prune(near, np.vstack((sim, sim[i])), s.degree):
                 links[i].add(j)
                 links[j].add(i)
-        medoid = int((sim @ np.ones(len(ids))).argmax())
-        return pd.DataFrame({"part": frame["part"], "id": ids, "vector": frame["vector"], "neighbours": [[int(ids[j]) for j in sorted(v)] for v in links], "entry": [i == medoid for i in range(len(ids))]})
+        medoid = int((sim @ np.ones(len(x))).argmax())
+        return pd.DataFrame({"part": frame["part"], "n": np.arange(len(x)), "id": frame["id"], "vector": frame["vector"], "neighbours": [sorted(v) for v in links], "entry": np.arange(len(x)) == medoid})
+
+    cut = _regions(items.select("id", "vector")).select("part", "id", "vector")
+    return cut.groupBy("part").applyInPandas(run, f"part int, n int, id {kind}, vector array<float>, neighbours array<int>, entry boolean")
+
+
+def regions(nodes: DataFrame) -> DataFrame:
+    """(part, centroid): the mean direction of each region."""
+    parts = nodes.select("part", F.posexplode("vector").alias("i", "x")).groupBy("part", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return parts.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centroid"))
 
-    cut = items.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "vector")
-    return cut.groupBy("part").applyInPandas(run, "part int, id long, vector array<float>, neighbours array<long>, entry boolean")
 
+def write(nodes: DataFrame, path: str) -> None:
+    nodes.write.partitionBy("part").parquet(f"{path}/nodes")
+    regions(nodes.sparkSession.read.parquet(f"{path}/nodes")).coalesce(1).write.parquet(f"{path}/regions")
 
-def topk(graph: DataFrame, query: Column, k: int, settings: IndexSettings, rounds: int = 16) -> DataFrame:
-    """Best-first search: every subgraph from its entry, keeping the ``search_list`` best nodes of each."""
+
+def read(spark: SparkSession, path: str) -> Graph:
+    return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/regions"))
+
+
+def routed(graph: Graph, q: np.ndarray) -> list[int]:
+    """The regions to walk, those next to a query: a fifth of them, but eight at least."""
+    rows = graph.regions.collect()  # a row for each region
+    score = {r.part: float(np.dot(r.centroid, q) / max(np.linalg.norm(r.centroid), 1e-300)) for r in rows}
+    return sorted(score, key=lambda p: (-score[p], p))[: max(8, math.ceil(len(rows) / 5))]
+
+
+def topk(graph: Graph | DataFrame, query: Column, k: int, settings: IndexSettings) -> DataFrame:
+    """Best-first search of the regions next to the query, keeping the ``search_list`` best nodes of each."""
     s = settings.clamped()
-    vector = graph.select(query.alias("q")).limit(1).collect()
-    if not vector:
-        return search.exact(graph, query, k).select("id", "score")
-    q = np.array(vector[0].q, dtype=np.float64)
+    if isinstance(graph, DataFrame):
+        graph = Graph(graph, regions(graph))
+    nodes = graph.nodes
+    q = np.array(nodes.sparkSession.range(1).select(query.alias("q")).first().q, dtype=np.float64)
+    kind = nodes.schema["id"].dataType.simpleString()
+    length = float(np.linalg.norm(q))
 
     def run(_, frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(frame["vector"].tolist(), dtype=np.float64)
-        n = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
-        score = np.where(n > 0, x @ q / np.where(n > 0, n, 1), 0.0)
-        at = {int(v): i for i, v in enumerate(frame["id"])}
-        best = set(np.flatnonzero(frame["entry"].to_numpy()).tolist())
+        frame = frame.sort_values("n", ignore_index=True)
+        vectors, neighbours, known = frame["vector"], frame["neighbours"], {}
+
+        def score(i: int) -> float:
+            if i not in known:
+                x = np.asarray(vectors.iloc[i], dtype=np.float64)
+                both = float(np.linalg.norm(x)) * length
+                known[i] = float(x @ q) / both if both > 0 else 0.0
+            return known[i]
+
+        best = np.flatnonzero(frame["entry"].to_numpy()).tolist()
         done: set[int] = set()
-        while best - done:
-            i = max(best - done, key=lambda j: (score[j], -j))
+        while open_ := [j for j in best if j not in done]:
+            i = open_[0]  # ``best`` is in order
             done.add(i)
-            best |= {at[int(v)] for v in frame["neighbours"].iloc[i]}
-            best = set(sorted(best, key=lambda j: (-score[j], j))[: max(s.search_list, k)])
-        out = sorted(best, key=lambda j: (-score[j], int(frame["id"].iloc[j])))[:k]
-        return pd.DataFrame({"id": frame["id"].iloc[out].to_numpy(), "score": score[out]})
+            best = sorted({*best, *map(int, neighbours.iloc[i])}, key=lambda j: (-score(j), j))[: max(s.search_list, k)]
+        out = best[:k]
+        return pd.DataFrame({"id": frame["id"].iloc[out].to_numpy(), "score": [score(i) for i in out]})
 
-    hits = graph.groupBy("part").applyInPandas(run, "id long, score double")
+    hits = nodes.where(F.col("part").isin(routed(graph, q))).groupBy("part").applyInPandas(run, f"id {kind}, score double")
     return search.top(hits, k)
-
-
-def status(graph: DataFrame | None, data_version: int, index_version: int | None) -> dict:
-    """available is False once the data have changed since the build; searches are exact then."""
-    if graph is None or index_version is None:
-        return {"available": False, "nodes": 0}
-    return {"available": index_version == data_version, "nodes": graph.count()}

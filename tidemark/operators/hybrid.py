@@ -25,3 +25,21 @@ def fused(lists: list[DataFrame], rrf_k: int = RRF_K) -> DataFrame:
 def ranked(hits: DataFrame, *order) -> DataFrame:
     """``hits`` (already cut to a bounded top list) with rank from 1."""
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, payload) with rank from 1 in the order that they come in, that of the statement's ORDER BY.
+
+    Rows are numbered within their partitions, and partitions hold ranges of that order; what partitions before hold is added,
+    so no task sees all rows.  The numbers are fixed by one pass: rows are cached, not computed twice.
+    """
+    at = rows.withColumn("__at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("__at", 33)
+    starts, n = {}, 0
+    for p, m in sorted((r.part, r.n) for r in at.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):  # a row for each partition
+        starts[p] = n
+        n += m
+    if not starts:
+        return at.select("id", F.lit(1).cast("long").alias("rank"), "payload")
+    begin = F.create_map(*(F.lit(x) for p in starts for x in (p, starts[p])))[part]
+    return at.select("id", (begin + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).cast("long").alias("rank"), "payload")

@@ -16,9 +16,13 @@ from ..functions import vectors as V
 from ..session import ship
 from . import search
 
+# fixed values
 SEED = 0xDEADBEEF
 ITERATIONS = 15
 
+#: A stored index: an item's codes beside its vector, in folders by cluster.
+LAYOUT = "id string, vector array<float>, meta string, nearer array<int>, codes struct<scale:double,data:array<tinyint>>, cluster int"
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
@@ -63,22 +67,34 @@ def needs_training(upserts_since: int, live: int, trained: bool, settings: Index
     return live >= s.min_train and (not trained or upserts_since >= s.retrain_min)
 
 
-def assign(items: DataFrame, centroids: DataFrame) -> DataFrame:
+def assign(items: DataFrame, centroids: DataFrame, copies: int = 1) -> DataFrame:
     """``items`` with ``cluster``, that of the most similar centroid (ties: the smallest number).
 
-    The centroids are a bounded set (the setting's number of clusters); they go out once and meet items in matrix products.
+    With ``copies`` above 1 an item has a row for each of so many most similar centroids, and ``nearer``, the clusters of its
+    copies before this one: who reads one of those passes this copy over.  The centroids are a bounded set (the setting's
+    number of clusters); they go out once and meet items in matrix products.
     """
     ship(items.sparkSession)
     rows = centroids.orderBy("cluster").collect()
-    shared = items.sparkSession.sparkContext.broadcast((np.array([r.cluster for r in rows]), _unit(np.array([r.centroid for r in rows], dtype=np.float64))))
+    shared = items.sparkSession.sparkContext.broadcast((np.array([r.cluster for r in rows], dtype=np.int32), _unit(np.array([r.centroid for r in rows], dtype=np.float64))))
+    copies = min(copies, len(rows))
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("array<int>")
     def nearest(vectors: pd.Series) -> pd.Series:
         numbers, c = shared.value
         x = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
-        return pd.Series(numbers[(x @ c.T).argmax(axis=1)].astype(np.int32))
+        return pd.Series(list(numbers[np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :copies]]))
+
+    known = items.withColumn("__near", nearest("vector"))
+    if copies == 1:
+        return known.withColumn("cluster", F.col("__near")[0]).drop("__near")
+    out = known.select("*", F.posexplode("__near").alias("__at", "cluster"))
+    return out.withColumn("nearer", F.slice("__near", F.lit(1), F.col("__at"))).drop("__near", "__at")
 
-    return items.withColumn("cluster", nearest("vector"))
+
+def coded(items: DataFrame) -> DataFrame:
+    """``items`` with their codes, so that a shortlist needs no arithmetic on the vectors."""
+    return items.withColumn("codes", V.q8_quantize(F.col("vector")))
 
 
 def write(assigned: DataFrame, path: str) -> None:
@@ -91,11 +107,26 @@ def probes(centroids: DataFrame, query: Column, nprobe: int) -> list[int]:
     return [r.cluster for r in near.select("cluster").collect()]
 
 
+def near(assigned: DataFrame, centroids: DataFrame, query: Column, settings: IndexSettings) -> DataFrame:
+    """The items of the ``nprobe`` clusters next to a query, each once: of a written layout, the files of those folders alone."""
+    chosen = probes(centroids, query, settings.clamped().nprobe)
+    found = assigned.where(F.col("cluster").isin(chosen))
+    return found.where(~F.arrays_overlap(F.coalesce("nearer", F.array().cast("array<int>")), F.array(*map(F.lit, chosen)))) if "nearer" in assigned.columns and chosen else found
+
+
+def shortlisted(items: DataFrame, query: Column, size: int) -> DataFrame:
+    """The ``size`` items whose codes have the largest dot product with the query's."""
+    rough = V.q8_dot(F.col("codes"), V.q8_quantize(query))
+    return items.withColumn("rough", rough).orderBy(F.desc("rough"), "id").limit(size).drop("rough")
+
+
 def probe(assigned: DataFrame, centroids: DataFrame, query: Column, k: int, settings: IndexSettings) -> DataFrame:
-    """Probe, shortlist by quantised dot product, refine exactly, top k."""
+    """Probe, shortlist by quantised dot product (of stored codes, where there are), refine exactly, top k."""
     s = settings.clamped()
-    near = assigned.where(F.col("cluster").isin(probes(centroids, query, s.nprobe)))
-    return search.refined(near, query, k, max(s.refine, k))
+    items = near(assigned, centroids, query, s)
+    if "codes" not in items.columns:
+        items = coded(items)
+    return search.exact(shortlisted(items, query, max(s.refine, k)), query, k)
 
 
 def batch_probe(assigned: DataFrame, centroids: DataFrame, queries: pd.DataFrame, k: int, nprobe: int) -> DataFrame:
@@ -105,8 +136,11 @@ def batch_probe(assigned: DataFrame, centroids: DataFrame, queries: pd.DataFrame
     c, numbers = _unit(np.array([r.centroid for r in rows], dtype=np.float64)), np.array([r.cluster for r in rows])
     q = _unit(np.array(queries["vector"].tolist(), dtype=np.float64))
     near = numbers[np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :nprobe]]
-    plan = spark.createDataFrame([(int(n), int(i), [float(v) for v in x]) for i, x, ns in zip(queries["query_id"], q, near, strict=True) for n in ns], "cluster int, query_id long, q array<double>")
-    hits = assigned.join(plan, "cluster").select("query_id", "id", V.cosine(F.col("vector"), F.col("q")).alias("score"))
+    plan = spark.createDataFrame([(int(n), int(i), [float(v) for v in x], ns.tolist()) for i, x, ns in zip(queries["query_id"], q, near, strict=True) for n in ns], "cluster int, query_id long, q array<double>, probed array<int>")
+    both = assigned.join(plan, "cluster")
+    if "nearer" in assigned.columns:
+        both = both.where(~F.arrays_overlap("nearer", "probed"))
+    hits = both.select("query_id", "id", V.cosine(F.col("vector"), F.col("q")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 

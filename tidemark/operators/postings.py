@@ -33,7 +33,12 @@ def candidates(index: DataFrame, wanted: dict) -> DataFrame:
     return index.where(hit).select("id", "field").distinct().groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("id")
 
 
+def among(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """``rows`` whose id is among ``ids``; all of them if those are None."""
+    return rows if ids is None else rows.join(ids, "id", "left_semi")
+
+
 def find(docs: DataFrame, index: DataFrame | None, wanted: dict, limit: int, column: str = "doc") -> DataFrame:
     """Documents that match ``wanted``, by id: through the index where it answers, and in any case by the predicate itself."""
-    rows = docs.join(candidates(index, wanted), "id", "left_semi") if index is not None and usable(wanted) else docs
+    rows = among(docs, candidates(index, wanted) if index is not None and usable(wanted) else None)
     return rows.where(jsons.matches(F.col(column), wanted)).orderBy("id").limit(max(limit, 1))
