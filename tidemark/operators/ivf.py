@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,20 +130,44 @@ def probe(assigned: DataFrame, centroids: DataFrame, query: Column, k: int, sett
     return search.exact(shortlisted(items, query, max(s.refine, k)), query, k)
 
 
-def batch_probe(assigned: DataFrame, centroids: DataFrame, queries: pd.DataFrame, k: int, nprobe: int) -> DataFrame:
-    """(query_id, id, score, rank) for many queries: each meets the items of its ``nprobe`` clusters by a join on cluster."""
+def batch_probe(assigned: DataFrame, centroids: DataFrame, queries: pd.DataFrame, k: int, nprobe: int, block: int = 4096) -> DataFrame:
+    """(query_id, id, score, rank) for many queries: each meets the items of its ``nprobe`` clusters.
+
+    The queries are a stated set and go out in blocks; the items of a cluster and of an Arrow batch are one matrix product with
+    the queries that probe the cluster, a task keeps k items per query, and nothing but those is shuffled.
+    """
     spark = assigned.sparkSession
+    ship(spark)
     rows = centroids.orderBy("cluster").collect()
     c, numbers = _unit(np.array([r.centroid for r in rows], dtype=np.float64)), np.array([r.cluster for r in rows])
-    q = _unit(np.array(queries["vector"].tolist(), dtype=np.float64))
-    near = numbers[np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :nprobe]]
-    plan = spark.createDataFrame([(int(n), int(i), [float(v) for v in x], ns.tolist()) for i, x, ns in zip(queries["query_id"], q, near, strict=True) for n in ns], "cluster int, query_id long, q array<double>, probed array<int>")
-    both = assigned.join(plan, "cluster")
-    if "nearer" in assigned.columns:
-        both = both.where(~F.arrays_overlap("nearer", "probed"))
-    hits = both.select("query_id", "id", V.cosine(F.col("vector"), F.col("q")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    copies = "nearer" in assigned.columns
+    out = None
+    for at in range(0, len(queries), block):
+        part = queries.iloc[at : at + block]
+        q = _unit(np.array(part["vector"].tolist(), dtype=np.float64))
+        probed = np.zeros((len(q), int(numbers.max()) + 1), dtype=bool)
+        near = numbers[np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :nprobe]]
+        probed[np.arange(len(q))[:, None], near] = True
+        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(np.int64), q, probed))
+
+        def run(batches):
+            ids_q, q, probed = shared.value  # noqa: B023
+            best = search.Best(len(q), k)
+            for b in batches:
+                x, fit = search.matrix(b.column("vector"), q.shape[1])
+                x, cluster, ids = _unit(x), b.column("cluster").to_numpy(zero_copy_only=False)[fit], b.column("id").to_numpy(zero_copy_only=False)[fit]
+                before = [np.array(v or [], dtype=np.int64) for v in b.column("nearer").take(pa.array(fit)).to_pylist()] if copies else None
+                for n in np.unique(cluster):
+                    asked, own = np.flatnonzero(probed[:, n]), np.flatnonzero(cluster == n)
+                    if len(asked):
+                        # a copy counts if none of the clusters before it is probed
+                        allowed = ~np.stack([probed[asked][:, before[i]].any(axis=1) for i in own], axis=1) if copies else None
+                        best.add(asked, q[asked] @ x[own].T, ids[own], allowed)
+            yield best.batch(ids_q)
+
+        one = assigned.select("id", "vector", "cluster", *(["nearer"] if copies else [])).mapInArrow(run, "query_id long, id long, score double")
+        out = one if out is None else out.union(one)
+    return spark.createDataFrame([], "query_id long, id long, score double, rank int") if out is None else search.best_of(out, k)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

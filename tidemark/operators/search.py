@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,53 @@ def exact(items: DataFrame, query: Column, k: int, metric: str = "cosine", vecto
     return top(scores(items, query, metric, vector), k, id_column)
 
 
+def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a list column that have length ``dim``, as rows, and their places in the column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    fit = np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(column), -1)) == dim)
+    if len(fit) < len(column):
+        column = column.take(pa.array(fit))
+    flat = column.flatten().to_numpy(zero_copy_only=False) if len(fit) else np.zeros(0)
+    return flat.reshape(len(fit), dim).astype(np.float64), fit
+
+
+class Best:
+    """The k best (score, id) of each query over batches; of equal scores the smaller id stays."""
+
+    def __init__(self, queries: int, k: int):
+        self.queries, self.k = queries, k
+        self.row, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        """``scores`` of the queries ``rows`` (one row of the matrix each) and the items ``ids`` (a column each)."""
+        if not scores.size:
+            return
+        if allowed is not None:
+            scores = np.where(allowed, scores, -np.inf)
+        least = np.partition(scores, -self.k, axis=1)[:, -self.k] if scores.shape[1] > self.k else np.full(len(scores), -np.inf)
+        i, j = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        row, score, id_ = np.concatenate((self.row, rows[i])), np.concatenate((self.score, scores[i, j])), np.concatenate((self.id, ids[j]))
+        order = np.lexsort((id_, -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        self.row, self.score, self.id = row[keep], score[order][keep], id_[order][keep]
+
+    def batch(self, numbers: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(numbers[self.row], pa.int64()), pa.array(self.id, pa.int64()), pa.array(self.score, pa.float64())], names=["query_id", "id", "score"])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1)
+
+
+def best_of(parts: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k best of what tasks have kept."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return parts.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def batch(items: DataFrame, queries: pd.DataFrame, k: int, metric: str = "cosine", block: int = 4096) -> DataFrame:
     """(query_id, id, score, rank): the k best items for each row of ``queries`` (query_id, vector).
 
@@ -45,36 +94,19 @@ def batch(items: DataFrame, queries: pd.DataFrame, k: int, metric: str = "cosine
     out = None
     for at in range(0, len(queries), block):
         part = queries.iloc[at : at + block]
-        q = np.array(part["vector"].tolist(), dtype=np.float64)
-        lengths = np.linalg.norm(q, axis=1)
-        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), q / np.where(lengths > 0, lengths, 1)[:, None]))
-
-        def run(frames):
-            ids_q, q = shared.value  # noqa: B023
-            best_s, best_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), dtype=np.int64)
-            for frame in frames:
-                fit = frame[frame["vector"].map(len) == q.shape[1]]
-                if not len(fit):
-                    continue
-                x = np.array(fit["vector"].tolist(), dtype=np.float64)
-                n = np.linalg.norm(x, axis=1)
-                s = q @ (x / np.where(n > 0, n, 1)[:, None]).T
-                best_s = np.concatenate((best_s, s), axis=1)
-                best_i = np.concatenate((best_i, np.broadcast_to(fit["id"].to_numpy(np.int64), s.shape)), axis=1)
-                if best_s.shape[1] > k:
-                    # ids decide ties: of equal scores the smaller id stays
-                    order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            if best_s.shape[1]:
-                m = best_s.shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids_q, m), "id": best_i.ravel(), "score": best_s.ravel()})
-
-        one = items.select("id", "vector").mapInPandas(run, "query_id long, id long, score double")
+        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(np.int64), _unit(np.array(part["vector"].tolist(), dtype=np.float64))))
+
+        def run(batches):
+            numbers, q = shared.value  # noqa: B023
+            best, every = Best(len(q), k), np.arange(len(q))
+            for b in batches:
+                x, fit = matrix(b.column("vector"), q.shape[1])
+                best.add(every, q @ _unit(x).T, b.column("id").to_numpy(zero_copy_only=False)[fit])
+            yield best.batch(numbers)
+
+        one = items.select("id", "vector").mapInArrow(run, "query_id long, id long, score double")
         out = one if out is None else out.union(one)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return spark.createDataFrame([], "query_id long, id long, score double, rank int") if out is None else best_of(out, k)
 
 
 def refined(items: DataFrame, query: Column, k: int, shortlist: int, vector: str = "vector", id_column: str = "id") -> DataFrame:
