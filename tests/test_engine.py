@@ -328,3 +328,48 @@ def test_dialect_in_queries(engine):
     one = sql.query("SELECT total(a) AS t, total(a) / count(*) AS mean, group_concat(s) AS g, json_group_array(b) AS j, json_group_object(s, b) AS o FROM n WHERE b IS 2").first()
     assert one.t == 0.0 and one.mean == 0.0 and sorted(one.g.split(",")) == ["Ab", "ab"] and json.loads(one.j) == [2, 2] and json.loads(one.o) == {"Ab": 2, "ab": 2}
     assert sql.query("SELECT 'a/b' AS s -- a / b\n FROM n WHERE s = 'a/b'").isEmpty()
+
+
+def test_parts_have_one_face(engine):
+    from tidemark.adapters import parts
+
+    found = parts(engine)
+    engine.vector.create_collection("v", 2)
+    found["vector"].add("v", "a", {"vector": [1, 0], "meta": {"t": "x"}})
+    assert found["vector"].search("v", {"vector": [1, 0], "filters": {"t": "x"}}).first().id == "a"
+    engine.sql.execute("CREATE TABLE t (id TEXT, n INT)")
+    found["sql"].add("t", "1", {"id": "1", "n": 5})
+    assert found["sql"].search("t", {"n": 5}).first().id == "1" and found["sql"].search("t", {"sql": "WITH x AS (SELECT n FROM t) SELECT * FROM x"}).first().n == 5
+    found["doc"].add("d", "1", {"a": "b"})
+    assert found["doc"].search("d", {"filter": {"a": "b"}}).first().id == "1" and found["doc"].stats() == {"d": 1}
+    assert found["sql"].stats() == {"t": 1} and found["vector"].stats()["collections"] == 1
+    assert found["vector"].delete("v", "a") and not found["vector"].delete("v", "a")
+    assert found["sql"].delete("t", "1") and not found["sql"].delete("t", "1") and found["doc"].delete("d", "1")
+    assert all(p.health()["status"] == "ok" for p in found.values())
+
+
+def test_command_line(engine, monkeypatch, capsys):
+    import tidemark.session
+    from tidemark.__main__ import arguments, main
+
+    monkeypatch.setenv("TIDEMARK_MAX_K", "7")
+    assert arguments(["p", "stats"])[1].max_k == 7 and arguments(["p", "stats", "--max-k", "9"])[1].max_k == 9
+    engine.state.put("a", 1)
+    engine.state.put("a", 2)
+    monkeypatch.setattr(tidemark.session, "session", lambda master=None: engine.spark)
+    assert main([engine.path, "snapshot"]) == {"snapshot_offset": 2}
+    assert main([engine.path, "vacuum"]) == {"dropped": 1, "removed": 2} and main([engine.path, "stats"])["last_offset"] == 2
+    assert json.loads(capsys.readouterr().out.splitlines()[0]) == {"snapshot_offset": 2}
+
+
+def test_hashes_and_base64(spark):
+    import base64
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import jsons
+
+    values = [b"", b"a", bytes(range(250, 256)) * 3, bytes(range(256)) * 4]
+    rows = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(values)], "i long, b binary").select("i", F.crc32("b").alias("c"), jsons.base64_plain(F.col("b")).alias("p"), jsons.base64_plain(F.col("b"), True).alias("u"))
+    assert [(r.c, r.p, r.u) for r in rows.orderBy("i").collect()] == [(zlib.crc32(v), base64.b64encode(v).decode().rstrip("="), base64.urlsafe_b64encode(v).decode().rstrip("=")) for v in values]

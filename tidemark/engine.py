@@ -13,7 +13,7 @@ import time
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict
-from typing import Any, Protocol
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +25,6 @@ from .functions import vectors as V
 from .operators import batches, changelog, graph, hybrid, ivf, postings, rag, search, sqlapi
 from .sources.logstore import LOG, LogStore
 
-class BaseEngine(Protocol):
-    """What the hybrid engine needs of a part."""
-
-    def add(self, collection: str, id: str, value: Mapping) -> None: ...
-    def search(self, request: Mapping) -> DataFrame: ...
-    def delete(self, collection: str, id: str) -> bool: ...
-
-
 def now_ms() -> int:
     return time.time_ns() // 1_000_000
 
@@ -134,7 +126,7 @@ class Engine:
             return hybrid.ranked(found, F.desc("score"), "id").select("id", "rank", F.to_json(F.struct("id", "score", "meta")).alias("payload"))
 
         def sql_leg() -> DataFrame:
-            rows = self.sql.query(request["sql"], request.get("params", ()))
+            rows = self.sql.rows(request["sql"], request.get("params", ()))
             return hybrid.in_order(jsons.json_rows(rows).select(F.get_json_object("row", "$.id").alias("id"), F.col("row").alias("payload")))
 
         if kind == "vector":

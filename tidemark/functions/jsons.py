@@ -94,6 +94,13 @@ def string_fields(frame: DataFrame, column: str, *keep: str) -> DataFrame:
     return exploded.where(F.schema_of_variant("value") == "STRING").select(*keep, "key", F.expr("variant_get(value, '$', 'string')").alias("value"))
 
 
+def base64_plain(value: Column, url_safe: bool = False) -> Column:
+    """Base64 without padding, on one line; with ``url_safe``, - and _ in place of + and /."""
+    # the built-in function may break lines
+    plain = F.rtrim(F.translate(F.base64(value), "\r\n", ""), F.lit("="))
+    return F.translate(plain, "+/", "-_") if url_safe else plain
+
+
 def json_rows(frame: DataFrame) -> DataFrame:
     """Each row as a JSON object by column name (column ``row``); doubles that aren't finite are null, binary is base64
     without padding.  Of columns with the same name, the last one counts."""
@@ -104,6 +111,6 @@ def json_rows(frame: DataFrame) -> DataFrame:
         if type_ in ("double", "float"):
             c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
         elif type_ == "binary":
-            c = F.rtrim(F.base64(c), F.lit("="))
+            c = base64_plain(c)
         fields[name] = c.alias(name)
     return plain.select(F.to_json(F.struct(*fields.values()), {"ignoreNullFields": "false"}).alias("row"))

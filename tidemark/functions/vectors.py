@@ -55,11 +55,11 @@ def q8_dot(a: Column, b: Column) -> Column:
 
 def embed(text: Column, dim: int = 384) -> Column:
     """A stand-in for a text model.  ``TEST_VEC:1.0,0.5`` is that vector, if all parts are numbers; any other text gets ``dim``
-    reproducible numbers in [0, 1) from its hash, without meaning."""
+    reproducible numbers in [0, 1) from its crc32, without meaning."""
     parts = F.split(F.substring(text, 10, 1 << 20), ",")
     numbers = F.transform(parts, lambda p: F.trim(p).try_cast("float"))
     literal = text.startswith("TEST_VEC:") & F.forall(numbers, lambda x: x.isNotNull())
-    hashed = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.pmod(F.xxhash64(text, i), F.lit(1 << 24)) / float(1 << 24)).cast("float"))
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.pmod(F.xxhash64(F.crc32(text.cast("binary")), i), F.lit(1 << 24)) / float(1 << 24)).cast("float"))
     return F.when(literal, numbers).otherwise(hashed)
 
 

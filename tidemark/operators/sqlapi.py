@@ -373,6 +373,11 @@ class Tables:
         require(text.strip().lower().startswith("select"), "invalid_argument", "only SELECT statements are allowed")
         return self._run(*numbered(text, values))
 
+    def rows(self, text: str, values: Sequence[Any] = ()) -> DataFrame:
+        """The rows of any query, one that begins with WITH or VALUES too; statements without rows are refused."""
+        require(bool(_STATEMENTS[-1][1].match(text.strip())), "sql_error", "not a query")
+        return self._run(*numbered(text, values))
+
     def execute(self, text: str, values: Sequence[Any] = ()) -> dict:
         """Run a statement: CREATE TABLE, DROP TABLE, INSERT, UPDATE, DELETE or a query; rows_affected, and rows (a frame) of a
         query.  Other statements, triggers, views, indexes and transactions are refused with sql_error."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import sqlapi
-from ..sources.tables import table
+from ..sources.tables import folder, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -36,6 +36,7 @@ both("sql_join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}
 both("sql_join_theta", "SELECT a.n_name AS low, b.n_name AS high FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 both("sql_join_self", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM {supplier} a JOIN {supplier} b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal")
 both("sql_join_using_natural", "SELECT nk, n_name, s_name FROM (SELECT n_nationkey AS nk, n_name FROM {nation}) JOIN (SELECT s_nationkey AS nk, s_name FROM {supplier}) USING (nk)")
+both("sql_join_natural", "SELECT k, n_name, s_name FROM (SELECT n_nationkey AS k, n_name FROM {nation}) a NATURAL JOIN (SELECT s_nationkey AS k, s_name FROM {supplier}) b")
 both(
     "sql_semi_anti",
     """SELECT 'with' AS kind, count(*) AS n FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)
@@ -99,6 +100,47 @@ both("sql_params_filter", "SELECT p_partkey, p_name FROM {part} WHERE p_size > ?
 both("sql_coalesce_null", "SELECT c_custkey, coalesce(o_orderkey, -1) AS o, o_orderkey IS NULL AS missing FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_orderstatus = 'P'")
 both("sql_values", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) t(id, name)")
 
+# the embedded dialect, rewritten
+
+
+def dialect(name: str, text: str, duck: str) -> None:
+    both(name, sqlapi.rewritten(text), duck)
+
+
+dialect(
+    "sql_dialect_division",
+    "SELECT p_partkey, p_size / 7 AS q, -p_size / 7 AS nq, p_size / (p_size - p_size) AS z, p_size % 0 AS r, p_size * 3 / 7 AS m, p_retailprice / 4 AS f FROM {part}",
+    "SELECT p_partkey, trunc(p_size / 7)::DOUBLE AS q, trunc(-p_size / 7)::DOUBLE AS nq, NULL::DOUBLE AS z, NULL::INT AS r, trunc(p_size * 3 / 7)::DOUBLE AS m, p_retailprice / 4 AS f FROM {part}",
+)
+dialect(
+    "sql_dialect_functions",
+    "SELECT p_partkey, iif(p_size > 25, 'big', 'small') AS size, max(p_size, 10) AS most, min(p_size, 10, 20) AS least, p_name LIKE '%A%' AS has, p_size IS 7 AS seven, ifnull(nullif(p_size, 7), -1) AS s, instr(p_name, 'a') AS at FROM {part}",
+    "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS size, greatest(p_size, 10) AS most, least(p_size, 10, 20) AS least, p_name ILIKE '%A%' AS has, p_size = 7 AS seven, coalesce(nullif(p_size, 7), -1) AS s, instr(p_name, 'a')::INT AS at FROM {part}",
+)
+dialect(
+    "sql_dialect_aggregates",
+    "SELECT r_name, total(s_acctbal) >= 0 AS ok, total(s_acctbal) / count(*) > 0 AS mean, json_group_array(n_regionkey) AS keys, count(*) AS n FROM {region} JOIN {nation} ON r_regionkey = n_regionkey LEFT JOIN {supplier} ON s_nationkey = n_nationkey GROUP BY r_name",
+    "SELECT r_name, coalesce(sum(s_acctbal), 0) >= 0 AS ok, coalesce(sum(s_acctbal), 0) / count(*) > 0 AS mean, '[' || string_agg(n_regionkey::VARCHAR, ',') || ']' AS keys, count(*) AS n FROM {region} JOIN {nation} ON r_regionkey = n_regionkey LEFT JOIN {supplier} ON s_nationkey = n_nationkey GROUP BY r_name",
+)
+
+
+def sql_statements(spark: SparkSession, d: str) -> DataFrame:
+    """A table's life in statements: filled from orders, updated, deleted from, inserted into; what is in it then."""
+    tables = sqlapi.Tables(spark, folder(spark, "sql"))
+    tables.execute("CREATE TABLE o (id INTEGER PRIMARY KEY, status TEXT, price REAL)")
+    tables.insert("o", table(spark, d, "orders").selectExpr("o_orderkey AS id", "o_orderstatus AS status", "o_totalprice AS price"))
+    tables.execute("UPDATE o SET price = price * ?, status = 'X' WHERE status = ? AND id % 2 = 0", [2, "F"])
+    tables.execute("DELETE FROM o WHERE status = ? OR price < 1000", ["P"])
+    tables.execute("INSERT INTO o (id, status) SELECT id + 100000000, 'N' FROM o WHERE status = 'X'")
+    return tables.execute("SELECT status, count(*) AS n, sum(id) AS ids, round(total(price), 1) AS price FROM o GROUP BY status")["rows"]
+
+
+QUERIES["sql_statements"] = sql_statements
+SQL["sql_statements"] = """WITH u AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS status,
+  CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders),
+l AS (SELECT * FROM u WHERE status <> 'P' AND price >= 1000), i AS (SELECT * FROM l UNION ALL SELECT id + 100000000, 'N', NULL FROM l WHERE status = 'X')
+SELECT status, count(*) AS n, sum(id)::BIGINT AS ids, round(coalesce(sum(price), 0), 1) AS price FROM i GROUP BY status"""
+
 # TPC-H shaped
 
 both(

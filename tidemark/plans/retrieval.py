@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from ..functions import jsons
 from ..functions import vectors as V
 from ..operators import batches, changelog, graph, hybrid, ivf, postings, rag, search
 from ..sources import events as E
-from ..sources.tables import prefix_scan, table, vectors
+from ..sources.tables import folder, prefix_scan, table, vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -38,17 +35,6 @@ def hits(found: DataFrame) -> DataFrame:
     return found.select("id", F.round("score", 6).alias("score"))
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local session without that setting takes a temporary one, a cluster is
-    refused, since its machines don't see each other's files."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
 _Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {})"
 _COS = "list_cosine_similarity(embedding::DOUBLE[], {})"
 
@@ -179,7 +165,7 @@ def vec_ivf_stored_topk(spark, d):
     """A probe of a written index: the files of three clusters, a shortlist of 40 by stored codes, refinement."""
     items = vectors(spark, d)
     cents = label_centroids(items)
-    at = _folder(spark, "ivf")
+    at = folder(spark, "ivf")
     ivf.write(ivf.coded(ivf.assign(items.select("id", "vector"), cents)), at)
     return hits(ivf.probe(spark.read.parquet(at), cents, vector_of(items, 11), 10, IndexSettings(clusters=10, nprobe=3, refine=40)))
 
@@ -358,7 +344,7 @@ def event_stream_fold(spark, d):
     """The log as a stream of files, folded batch by batch; the final state."""
     from ..streaming import state as S
 
-    at = _folder(spark, "fold")
+    at = folder(spark, "fold")
     E.append(wal_of(spark, d).repartition(4), f"{at}/log")
     return S.fold(spark, f"{at}/log", f"{at}/state", f"{at}/checkpoint").select("key", "value", "offset")
 
@@ -371,7 +357,7 @@ def event_ttl_stream(spark, d):
 
     from ..streaming import state as S
 
-    at = _folder(spark, "ttl")
+    at = folder(spark, "ttl")
     changes = state_of(spark, d).select("offset", "ts_ms", F.lit("state_updated").alias("type"), F.to_json(F.struct("key", "value", "expires_at_ms")).alias("data"))
     due = changes.where(F.get_json_object("data", "$.expires_at_ms").isNotNull()).count()
     E.append(changes, f"{at}/log")
@@ -402,7 +388,7 @@ def _engine(spark, d):
     """An engine whose log holds the users' state, put in two halves with a snapshot between them."""
     from ..engine import Engine
 
-    engine = Engine(spark, _folder(spark, "engine"))
+    engine = Engine(spark, folder(spark, "engine"))
     log = log_of(spark, d).withColumnRenamed("offset", "at")
     half = log.agg(F.floor(F.avg("at"))).first()[0]
     rows = log.select("at", F.when(F.col("deleted"), "state_deleted").otherwise("state_updated").alias("type"), F.lit("state").alias("store"), F.lit("").alias("collection"), "key", "value", "deleted", "expires_at_ms")
@@ -444,7 +430,7 @@ def doc_find_indexed(spark, d):
     """Documents found through the postings of a snapshot and the changes after it: some changed, some deleted."""
     from ..engine import Engine
 
-    engine = Engine(spark, _folder(spark, "docs"))
+    engine = Engine(spark, folder(spark, "docs"))
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "doc_id", "lang", "source")
     event = [F.lit("state_updated").alias("type"), F.lit("doc").alias("store"), F.lit("c").alias("collection"), "key"]
     value = lambda lang: F.to_json(F.struct(lang.alias("lang"), "source")).alias("value")
@@ -594,6 +580,30 @@ def fn_hashes(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), F.length("text").alias("n"), F.octet_length("text").alias("bytes"))
 
 
+@query("SELECT doc_id AS id, rtrim(base64(encode(text)), '=') AS plain, translate(rtrim(base64(encode(text)), '='), '+/', '-_') AS url FROM documents")
+def fn_base64(spark, d):
+    text = F.col("text").cast("binary")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), jsons.base64_plain(text).alias("plain"), jsons.base64_plain(text, True).alias("url"))
+
+
+@query(f"""WITH v AS (SELECT vec_id, label, CASE WHEN vec_id % 50 = 0 THEN list_transform(embedding::DOUBLE[], lambda x: -x) ELSE embedding::DOUBLE[] END AS v FROM embeddings WHERE vec_id % 30 <> 1)
+SELECT vec_id::VARCHAR AS id, round(list_cosine_similarity(v, {_Q.format(4)}), 6) AS score FROM v WHERE label < 5 ORDER BY list_cosine_similarity(v, {_Q.format(4)}) DESC, vec_id::VARCHAR LIMIT 20""")
+def vec_engine_search(spark, d):
+    """A collection's life as frames: added, indexed, then partly updated and deleted; searched through the index, all of whose
+    clusters are probed, and what changed since."""
+    from ..engine import Engine
+
+    engine, items = Engine(spark, folder(spark, "vectors")), vectors(spark, d)
+    settings = IndexSettings(kind="ivf", clusters=16, nprobe=16, refine=1_000_000, min_train=32, copies=2)
+    engine.vector.create_collection("c", 64, index=settings)
+    rows = items.select(F.col("id").cast("string").alias("id"), "vector", F.to_json(F.struct((F.col("label") < 5).alias("low"))).alias("meta"), F.col("id").alias("n"))
+    engine.vector.upsert_frame("c", rows.drop("n"), fresh=True)
+    engine.vector.train("c")
+    engine.vector.update_frame("c", rows.where("n % 50 = 0").select("id", F.transform("vector", lambda x: -x).alias("vector"), F.lit(None).cast("string").alias("meta")))
+    engine.vector.delete_frame("c", rows.where("n % 30 = 1").select("id"))
+    return hits(engine.vector.search("c", list(items.where("id = 4").first().vector), 20, {"low": True}))
+
+
 @query("""WITH r AS (SELECT vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rk FROM embeddings) SELECT id FROM r WHERE rk = 1""")
 def win_first_per_group(spark, d):
     return batches.first_of_each(vectors(spark, d), "label", "id").select("id")

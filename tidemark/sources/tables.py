@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a local session without that setting takes a temporary one, a cluster is
+    refused, since its machines don't see each other's files."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
