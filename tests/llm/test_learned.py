@@ -186,6 +186,66 @@ def test_ranking_prefers_the_good():
     assert (rank.raw(good)[:, None] > rank.raw(bad)).mean() > 0.8 and 0 <= rank.quantile <= 1
 
 
+def plain_features(text):
+    """The features of a text as their names say, with strings and loops."""
+    words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in text).split(" ") if w]
+    if not words:
+        return [0.0] * len(quality.FEATURES)
+    raw = [w.encode() for w in words]
+    low = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in raw]
+    n, size, data = len(words), len(text.encode()), text.encode()
+    lengths = [len(w) for w in raw]
+    mean = sum(lengths) / n
+    symbol = {b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:!?'\"()-"}
+    share = lambda it: sum(it) / n
+    top = collections.Counter(low).most_common(1)[0][1]
+    return [
+        math.log(1 + n), mean, math.sqrt(max(0, sum(x * x for x in lengths) / n - mean**2)), share(x > 20 for x in lengths), share(low[i] == low[i - 1] for i in range(1, n)), share(low[i] == low[i - 2] for i in range(2, n)),
+        len(set(low)) / n**0.9, top / n, sum(b in symbol for b in data) / size * 10, share(w[-1] in symbol for w in raw), share(len(w) == 1 and w[0] in symbol for w in raw), data.count(b"!") / n,
+        sum(65 <= b <= 90 for b in data) / size * 10, sum(48 <= b <= 57 for b in data) / size * 10, sum(b >= 128 for b in data) / size * 10, sum(b in b".?" for b in data) / n * 10, sum(b in b",;:" for b in data) / n * 10,
+        math.log(1 + n / (data.count(b"\n") + 1)),
+    ]
+
+
+def test_quality_equals_brute_force(spark, small):
+    """Features, stationary weights, the best quantile and the scores of the whole query, by loops over all documents."""
+    from tidemark.llm import queries
+
+    docs = {r.doc_id: r.text or "" for r in queries.table(spark, small, "documents").collect()}
+    x = {d: np.array(plain_features(t)) for d, t in docs.items()}
+    labels = {r.doc_id: r.quality for r in queries.table(spark, small, "labels").collect() if r.doc_id in docs}
+    train = {d: y for d, y in labels.items() if __import__("zlib").crc32(str(d).encode()) % 5 != 0}
+    got = {r.doc_id: r for r in quality.score(queries.table(spark, small, "documents"), queries.table(spark, small, "labels"), fold(5) != 0).collect()}
+    good, bad = (np.array([x[d] for d in sorted(train) if train[d] == y]) for y in (1, 0))
+    rank = quality.bradley_terry(good, bad)
+    every = np.concatenate((good, bad))
+    mean, sd = every.mean(axis=0), every.std(axis=0) + 1e-9
+    z = {d: np.clip((v - mean) / sd, -8, 8) for d, v in x.items()}
+    draw, n = np.random.default_rng(1), min(quality.PAIRS, len(good) * len(bad))
+    losers = draw.integers(len(bad), size=n)
+    zg, zb = (np.clip((v - mean) / sd, -8, 8) for v in (good, bad))
+    gradient = np.zeros(len(mean))
+    for i in range(n):
+        d = zg[i % len(good)] - zb[losers[i]]
+        gradient -= d / (1 + math.exp(min(max(float(d @ rank.weights), -30), 30)))
+    assert np.abs(gradient / n + 1e-3 * rank.weights).max() < 1e-6
+    raw = {d: float(z[d] @ rank.weights) for d in docs}
+    right = lambda cut: sum((raw[d] >= cut) == bool(y) for d, y in train.items())
+    held = sorted(raw[d] for d in train)
+    best = max(right(cut) for cut in [*held, held[-1] + 1])
+    assert right(rank.shift) >= best - 1
+    for d, r in got.items():
+        assert r.raw == pytest.approx(raw[d], abs=1e-6) and r.predicted == (r.score >= 0.3)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-min(max(raw[d] - rank.shift + math.log(0.3 / 0.7), -40), 40))), abs=1e-6)
+
+
+def test_repeated_ids_train_one_way(spark, labelled):
+    docs, labels = labelled
+    twice = docs.union(docs.selectExpr("doc_id", "concat(text, ' %%% other')"))
+    a, b = (sorted(tuple(r) for r in quality.score(twice.repartition(n), labels, F.lit(True)).collect()) for n in (1, 6))
+    assert a == b
+
+
 def sides(spark, rows):
     return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
 
