@@ -245,8 +245,12 @@ def decode(data: bytes, shown: bool = True) -> list[Frame]:
                 before = canvas.copy() if disposal == 3 else None
                 area = canvas[top : top + h, left : left + w]
                 part = samples[: area.shape[0], : area.shape[1]]
-                seen = part != transparent if transparent is not None else np.ones(part.shape, bool)
-                area[seen, :3], area[seen, 3] = table[part[seen]], 255
+                colour = np.column_stack((table, np.full(256, 255, np.uint8)))
+                if transparent is None:
+                    area[...] = colour.take(part, axis=0)
+                else:
+                    seen = part != transparent
+                    area[seen] = colour[part[seen]]
                 picture = canvas.copy()
                 if disposal == 2:
                     area[...] = 0
@@ -261,5 +265,7 @@ def decode(data: bytes, shown: bool = True) -> list[Frame]:
 
 def histogram(shown: np.ndarray) -> np.ndarray:
     """Visible pixels by colour: 4 levels of each of red, green and blue, 64 counts."""
-    pixels = shown[shown[..., 3] > 0][:, :3] >> 6
-    return np.bincount(pixels[:, 0].astype(int) * 16 + pixels[:, 1] * 4 + pixels[:, 2], minlength=64)
+    flat = shown.reshape(-1, 4)
+    code = flat[:, 0] >> 2 & 48 | flat[:, 1] >> 4 & 12 | flat[:, 2] >> 6
+    visible = flat[:, 3] > 0
+    return np.bincount(code if visible.all() else code[visible], minlength=64)
