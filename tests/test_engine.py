@@ -237,7 +237,11 @@ def test_cluster_index(spark, tmp_path, copies):
     v.create_collection("c", 8, index=settings)
     assert v.train("c") is None and v.search("c", [1.0] * 8, 3).isEmpty()
     items = [{"id": f"i{i:03}", "vector": x, "meta": {"part": "odd" if i % 2 else "even"}} for i, x in enumerate(ring(200))]
+    v.upsert_batch("c", items[:30])
+    assert not v.index_status("c")["available"]
     v.upsert_batch("c", items)
+    # enough items: trained on write
+    assert v.index_status("c")["available"] and engine.counters["trainings"] == 1
     assert v.train("c").count() == 8 and v.index_status("c")["changed"] == 0
     query = items[17]["vector"]
     exact = [r.id for r in v.search("c", query, 5, kind="exact").collect()]

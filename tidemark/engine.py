@@ -96,7 +96,8 @@ class Engine:
             # the names of commits bound the changes; only if they are many enough the log is read
             if index["kind"] == "ivf" and sum(c.events for c in self.files.commits(index["offset"])) >= index["settings"]["retrain_min"]:
                 changes = self.files.log(index["offset"]).where((F.col("store") == "vector") & (F.col("collection") == name) & ~F.col("deleted")).count()
-                if changes >= index["settings"]["retrain_min"] and self.vector.train(name) is not None:
+                settings = IndexSettings(**index["settings"])
+                if ivf.needs_training(changes, settings.min_train, True, settings) and self.vector.train(name) is not None:
                     done.append(f"train {name}")
         return done
 
@@ -346,8 +347,17 @@ class Vectors:
                 rows.append({"type": type_, "store": "vector", "collection": collection, "key": item["id"], "vector": vector, "value": meta})
         self.engine.commit(rows)
         self.engine.counters["vector_writes"] += len(rows)
+        self._first_training(collection, manifest)
         return results
 
+    def _first_training(self, collection: str, manifest: Mapping) -> None:
+        """Train a collection that is to have a cluster index and has none, once it has enough items."""
+        settings = IndexSettings(**manifest["index"]) if manifest.get("index") else self.engine.settings
+        # the names of commits bound the items; only if there may be enough they are counted
+        if settings.kind == "ivf" and not self._index(collection) and sum(c.events for c in self.engine.files.commits()) >= settings.min_train:
+            if ivf.needs_training(0, self.table(collection).count(), False, settings):
+                self.train(collection)
+
     def update(self, collection: str, id: str, vector: Sequence[float] | None = None, meta: Any = None) -> None:
         """What is given replaces what is there."""
         old = self.get(collection, id)
@@ -390,6 +400,7 @@ class Vectors:
         done = self._statuses(rows.withColumn("status", F.coalesce(bad, known, F.lit("ok"))))
         vector = V.l2_normalize(F.col("vector")).cast("array<float>") if manifest["metric"] == "dot" else F.col("vector")
         self._frame(collection, done.where("status = 'ok'").select(F.col("id").alias("key"), vector.alias("vector"), F.col("meta").alias("value")), "vector_added" if fresh else "vector_upserted")
+        self._first_training(collection, manifest)
         return done.select("id", "status")
 
     def update_frame(self, collection: str, updates: DataFrame) -> DataFrame:

@@ -10,13 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def last_of_each(changes: DataFrame, key: str, order: str) -> DataFrame:
-    """Of changes of one key, the last one counts."""
-    rest = [c for c in changes.columns if c != key]
-    best = changes.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("__row"))
-    return best.select(*(F.col(key) if c == key else F.col(f"__row.{c}").alias(c) for c in changes.columns))
-
-
 def put(ops: DataFrame, state: DataFrame, max_key: int, max_bytes: int) -> DataFrame:
     """``ops`` (key, value, if_revision and others) with status and revision.
 

@@ -62,6 +62,14 @@ def vec_filtered_topk(spark, d):
     return hits(search.exact(items.where(jsons.matches(F.col("meta"), {"label": 4})), vector_of(items, 7), 5))
 
 
+@query(f"SELECT vec_id AS id, round({_COS.format(_Q.format(6))}, 6) AS score FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id = 6 ORDER BY {_COS.format(_Q.format(6))} DESC, vec_id LIMIT 15")
+def vec_dimension_filter(spark, d):
+    """Vectors of another length than the query's are passed over: here every third one has lost its second half."""
+    items = vectors(spark, d)
+    mixed = items.withColumn("vector", F.when((F.col("id") % 3 == 0) & (F.col("id") != 6), F.slice("vector", 1, 32)).otherwise(F.col("vector")))
+    return hits(search.exact(mixed, vector_of(items, 6), 15))
+
+
 @query("""SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM (
 SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank
@@ -322,6 +330,24 @@ def event_replay_filtered(spark, d):
     return log.orderBy("offset").limit(500).select("offset", "type", F.get_json_object("data", "$.key").alias("key"))
 
 
+@query(f"""WITH {_LOG}, m AS (SELECT (max("offset") // 2) AS m FROM log) SELECT "offset", CASE WHEN deleted THEN 'state_deleted' WHEN type = 'view' THEN 'vector_upserted' ELSE 'state_updated' END AS type, key FROM log, m WHERE "offset" > m""")
+def event_log_scan(spark, d):
+    """The log as files, read from the middle on; lines that are torn are passed over."""
+    at, log = folder(spark, "wal"), wal_of(spark, d)
+    E.append(log, f"{at}/log")
+    spark.createDataFrame([('{"offset": 99999999, "type": "state_up',)], "value string").write.mode("append").text(f"{at}/log")
+    since = log.agg(F.expr("max(offset) div 2")).first()[0]
+    return E.read(spark, f"{at}/log", since).select("offset", "type", F.get_json_object("data", "$.key").alias("key"))
+
+
+@query(f"""WITH {_LOG}, m AS (SELECT max("offset") AS m FROM log) SELECT "offset", key FROM (SELECT "offset", key FROM log ORDER BY "offset" DESC LIMIT 512), m WHERE "offset" > m - 300""")
+def event_ring_replay(spark, d):
+    """What a buffer of the newest 512 events holds for a reader that is 300 behind."""
+    log = wal_of(spark, d)
+    last = log.agg(F.max("offset")).first()[0]
+    return E.ring(log, 512, last - 300).select("offset", F.get_json_object("data", "$.key").alias("key"))
+
+
 @query("""WITH o AS (SELECT event_id AS o, lag(event_id) OVER (ORDER BY event_id) AS p FROM events WHERE event_id % 7 <> 3 AND event_id % 11 NOT IN (4, 5))
 SELECT p + 1 AS from_offset, o - 1 AS to_offset, o - p - 1 AS dropped FROM o WHERE o - p > 1""")
 def event_gap_detect(spark, d):
@@ -597,8 +623,7 @@ def vec_engine_search(spark, d):
     settings = IndexSettings(kind="ivf", clusters=16, nprobe=16, refine=1_000_000, min_train=32, copies=2)
     engine.vector.create_collection("c", 64, index=settings)
     rows = items.select(F.col("id").cast("string").alias("id"), "vector", F.to_json(F.struct((F.col("label") < 5).alias("low"))).alias("meta"), F.col("id").alias("n"))
-    engine.vector.upsert_frame("c", rows.drop("n"), fresh=True)
-    engine.vector.train("c")
+    engine.vector.upsert_frame("c", rows.drop("n"), fresh=True)  # which also trains the index
     engine.vector.update_frame("c", rows.where("n % 50 = 0").select("id", F.transform("vector", lambda x: -x).alias("vector"), F.lit(None).cast("string").alias("meta")))
     engine.vector.delete_frame("c", rows.where("n % 30 = 1").select("id"))
     return hits(engine.vector.search("c", list(items.where("id = 4").first().vector), 20, {"low": True}))
