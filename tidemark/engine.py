@@ -22,7 +22,10 @@ from .config import IndexSettings, Limits, Maintenance
 from .errors import EngineError, require
 from .functions import jsons
 from .functions import vectors as V
+from .keys import Keys
 from .operators import batches, changelog, graph, hybrid, ivf, postings, rag, search, sqlapi
+from .sources import events as E
+from .sources import runfiles
 from .sources.logstore import LOG, LogStore
 
 def now_ms() -> int:
@@ -37,6 +40,7 @@ class Engine:
         self.files = LogStore(spark, self.path)
         self.state, self.doc, self.vector = State(self), Docs(self), Vectors(self)
         self.events, self.sql, self.rag = Events(self), sqlapi.Tables(spark, f"{self.path}/sql"), Chunks(self)
+        self.keys = Keys(self.sql)
         self.counters: dict[str, int] = {"state_writes": 0, "vector_writes": 0, "vector_searches": 0, "doc_writes": 0, "snapshots": 0, "compactions": 0, "trainings": 0}
 
     # the log
@@ -403,6 +407,17 @@ class Vectors:
         self._first_training(collection, manifest)
         return done.select("id", "status")
 
+    def export_runs(self, collection: str, path: str, target: int = runfiles.TARGET) -> DataFrame:
+        """The live items as run files, with their codes; see `runfiles.write`."""
+        self._need(collection)
+        items = self.engine.store("vector", collection).select("offset", F.lit(False).alias("deleted"), F.col("key").alias("id"), "vector", F.col("value").alias("meta"))
+        return runfiles.write(items.withColumn("scale", V.q8_scale(F.col("vector"))).withColumn("codes", V.q8_codes(F.col("vector"), F.col("scale"))), path, target)
+
+    def import_runs(self, collection: str, path: str, legacy: bool = False) -> DataFrame:
+        """Upsert the live items of run files (or older vector files) of the collection's dimension: (id, status)."""
+        found = runfiles.state(runfiles.read(self.engine.spark, path, legacy), self._need(collection)["dim"])
+        return self.upsert_frame(collection, found.select("id", "vector", "meta"))
+
     def update_frame(self, collection: str, updates: DataFrame) -> DataFrame:
         """Updates of a frame of any size (id, vector, meta; null: keep): (id, status), ok or not_found."""
         current = self.table(collection)
@@ -559,6 +574,11 @@ class Events:
             out = out.where(F.col("collection") == collection)
         return out.orderBy("offset")
 
+    def frames(self, since: int = 0, types: str | None = None, key_prefix: str | None = None, collection: str | None = None) -> DataFrame:
+        """(offset, frame): the same as server-sent events, see `sources.events.frames`."""
+        data = F.to_json(F.struct("collection", "key", "value", "vector", "revision", "expires_at_ms", "reason"))
+        return E.frames(self.read(since, types, key_prefix, collection).select("offset", "ts_ms", "type", data.alias("data"))).orderBy("offset")
+
     def stream(self, since: int = 0) -> DataFrame:
         """The same log as it grows."""
         return self.engine.spark.readStream.schema(LOG).parquet(f"{self.engine.path}/log/*").where(F.col("offset") > since)

@@ -10,6 +10,7 @@ from ..functions import jsons
 from ..functions import vectors as V
 from ..operators import batches, changelog, graph, hybrid, ivf, postings, rag, search
 from ..sources import events as E
+from ..sources import runfiles
 from ..sources.tables import folder, prefix_scan, table, vectors
 
 QUERIES: dict = {}
@@ -632,3 +633,37 @@ def vec_engine_search(spark, d):
 @query("""WITH r AS (SELECT vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rk FROM embeddings) SELECT id FROM r WHERE rk = 1""")
 def win_first_per_group(spark, d):
     return batches.first_of_each(vectors(spark, d), "label", "id").select("id")
+
+
+@query("SELECT vec_id::VARCHAR AS id, label::VARCHAR AS meta, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS norm2, len(embedding)::INT AS codes FROM embeddings WHERE vec_id % 7 <> 3")
+def vec_run_files(spark, d):
+    """Items written as run files, then the deletions of some in later ones; what reading both leaves."""
+    items, path = vectors(spark, d), folder(spark, "runs")
+    n = items.count()
+    vector = F.col("vector")
+    rows = items.select(F.col("id").alias("offset"), F.lit(False).alias("deleted"), F.col("id").cast("string").alias("id"), "vector", F.col("label").cast("string").alias("meta"))
+    gone = rows.where("offset % 7 = 3").select((F.col("offset") + n).alias("offset"), F.lit(True).alias("deleted"), "id", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("meta"))
+    coded = rows.unionByName(gone).withColumn("scale", V.q8_scale(vector)).withColumn("codes", V.q8_codes(vector, F.col("scale")))
+    runfiles.write(coded, path, 1 << 16)
+    found = runfiles.state(runfiles.read(spark, path), 64)
+    return found.select("id", "meta", F.round(V.dot(vector, vector), 4).alias("norm2"), F.size("codes").alias("codes"))
+
+
+@query("""SELECT event_id AS "offset", 'event: ' || event_type || chr(10) || 'id: ' || event_id || chr(10) || 'data: {"offset":' || event_id || ',"ts_ms":' || user_id || ',"type":"' || event_type || '","data":{"k":' || json_extract(props, '$.k')::BIGINT || '}}' || chr(10) || chr(10) AS frame FROM events""")
+def event_frames(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("offset"), F.col("user_id").alias("ts_ms"), F.col("event_type").alias("type"), F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"))).alias("data"))
+    return E.frames(rows)
+
+
+@query("""SELECT 'k' || lpad(c_custkey::VARCHAR, 9, '0') AS id, c_name AS name, CASE WHEN c_nationkey = 0 THEN 'admin' ELSE 'user' END AS role, c_custkey AS created_at_ms
+FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey <> 5""")
+def api_keys_validate(spark, d):
+    """Keys made from customers, one revoked; who of all that ask is known."""
+    from ..engine import Engine
+
+    keys, who = Engine(spark, folder(spark, "keys")).keys, table(spark, d, "customer")
+    id_ = F.concat(F.lit("k"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    rows = who.select(id_.alias("id"), F.concat(F.lit("tm_live_"), "c_custkey").alias("key"), F.col("c_name").alias("name"), F.when(F.col("c_nationkey") == 0, "admin").otherwise("user").alias("role"), F.lit('{"allow":"*"}').alias("permissions"), F.col("c_custkey").cast("long").alias("created_at_ms"))
+    keys.create_frame(rows.where("c_custkey % 11 <> 0"))
+    keys.revoke("k000000005")
+    return keys.validate_frame(rows.select("key", "created_at_ms")).select("id", "name", "role", "created_at_ms")

@@ -43,6 +43,21 @@ def ring(log: DataFrame, capacity: int, since: int = 0) -> DataFrame:
     return log.orderBy(F.desc("offset")).limit(max(capacity, 16)).where(F.col("offset") > since)
 
 
+#: What is sent every 15 seconds (a fixed value) while there are no events.
+KEEP_ALIVE = ": keepalive\n\n"
+
+
+def frames(log: DataFrame) -> DataFrame:
+    """(offset, frame): each event (SCHEMA) as a server-sent event, named by its type, with its offset as id and the event as
+    JSON on one line of data.  Data that isn't JSON is null there.  Works on streams too."""
+    data = F.coalesce(F.to_json(F.try_parse_json("data")), F.lit("null"))
+    head = F.to_json(F.struct("offset", "ts_ms", "type"), {"ignoreNullFields": "false"})
+    # the head without its closing brace, then the data as it is
+    event = F.concat(F.expr("substring(__head, 1, length(__head) - 1)"), F.lit(',"data":'), data, F.lit("}"))
+    name = F.translate("type", "\r\n", "  ")
+    return log.withColumn("__head", head).select("offset", F.concat(F.lit("event: "), name, F.lit("\nid: "), F.col("offset"), F.lit("\ndata: "), event, F.lit("\n\n")).alias("frame"))
+
+
 def append(log: DataFrame, path: str) -> None:
     """Add events (SCHEMA) as JSON lines."""
     log.select("offset", "ts_ms", "type", "data").write.mode("append").json(path)
