@@ -667,3 +667,70 @@ def api_keys_validate(spark, d):
     keys.create_frame(rows.where("c_custkey % 11 <> 0"))
     keys.revoke("k000000005")
     return keys.validate_frame(rows.select("key", "created_at_ms")).select("id", "name", "role", "created_at_ms")
+
+
+@query(f"""WITH v AS (SELECT vec_id::VARCHAR AS id, row_number() OVER (ORDER BY {_COS.format(_Q.format(6))} DESC, vec_id::VARCHAR) AS rk FROM embeddings),
+x AS (SELECT vec_id::VARCHAR AS id, row_number() OVER (ORDER BY vec_id::VARCHAR) AS rk FROM embeddings WHERE label = 2),
+u AS (SELECT * FROM v WHERE rk <= 30 UNION ALL SELECT * FROM x WHERE rk <= 40)
+SELECT id, round(sum(1.0::DOUBLE / (60 + rk)), 9) AS rrf_score FROM u GROUP BY id""")
+def hybrid_engine(spark, d):
+    """A collection's nearest items and the rows of a statement, fused by ranks."""
+    from ..engine import Engine
+
+    engine, items = Engine(spark, folder(spark, "meta")), vectors(spark, d)
+    engine.vector.create_collection("c", 64)
+    engine.vector.upsert_frame("c", items.select(F.col("id").cast("string").alias("id"), "vector", F.lit("null").alias("meta")))
+    engine.sql.write("items", items.select(F.col("id").cast("string").alias("id"), "label"))
+    query = list(items.where("id = 6").first().vector)
+    found = engine.meta({"type": "hybrid", "collection": "c", "vector": query, "k": 30, "sql": "SELECT id, label FROM items WHERE label = ? ORDER BY id LIMIT 40", "params": [2]})
+    return found.select("id", F.round("rrf_score", 9).alias("rrf_score"))
+
+
+@query("""SELECT 'c/' || c_custkey AS key, CASE WHEN c_custkey = 7 THEN 99 ELSE c_nationkey END::BIGINT AS n, CASE WHEN c_custkey = 7 THEN 2 ELSE 1 END::BIGINT AS revision
+FROM customer WHERE c_custkey <> 3""")
+def kv_engine_life(spark, d):
+    """Keys put as a frame, one of them put again and one deleted."""
+    from ..engine import Engine
+
+    state = Engine(spark, folder(spark, "state")).state
+    rows = table(spark, d, "customer").select(F.concat(F.lit("c/"), "c_custkey").alias("key"), F.to_json(F.struct(F.col("c_nationkey").alias("n"))).alias("value"))
+    state.put_frame(rows)
+    state.put("c/7", {"n": 99}, if_revision=1)
+    state.delete("c/3")
+    return state.table().select("key", F.get_json_object("value", "$.n").cast("long").alias("n"), "revision")
+
+
+@query("SELECT * FROM (VALUES ('a', 2::BIGINT, 2::BIGINT), ('b', 1, NULL)) t(id, revision, n)")
+def doc_engine_life(spark, d):
+    """Documents put, put again and deleted; what a filter finds then."""
+    from ..engine import Engine
+
+    doc = Engine(spark, folder(spark, "docs")).doc
+    for id_, value in (("a", {"lang": "en", "n": 1}), ("b", {"lang": "fr"}), ("a", {"lang": "fr", "n": 2}), ("c", {"lang": "fr"}), ("e", {"lang": "en"})):
+        doc.put("d", id_, value)
+    doc.delete("d", "c")
+    return doc.find("d", {"lang": "fr"}).select("id", "revision", F.get_json_object("doc", "$.n").cast("long").alias("n"))
+
+
+# the check values of the public definition of CRC-32
+@query("""SELECT * FROM (VALUES ('', 0::BIGINT), ('123456789', 3421780262), ('The quick brown fox jumps over the lazy dog', 1095738169)) t(text, crc)""")
+def fn_crc32(spark, d):
+    texts = spark.createDataFrame([("",), ("123456789",), ("The quick brown fox jumps over the lazy dog",)], "text string")
+    return texts.select("text", F.crc32(F.col("text").cast("binary")).alias("crc"))
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 384 END::INT AS dim, CASE WHEN doc_id % 2 = 0 THEN doc_id::DOUBLE + 0.5 END AS first, true AS within, true AS same FROM documents""")
+def fn_embed(spark, d):
+    """Literal vectors, and the dimension, range and repeatability of all other texts' vectors."""
+    even = F.col("doc_id") % 2 == 0
+    docs = table(spark, d, "documents").select("doc_id", F.when(even, F.concat(F.lit("TEST_VEC:"), F.col("doc_id"), F.lit(".5, -1,2e0"))).otherwise(F.col("text")).alias("t"))
+    both = docs.select("doc_id", V.embed(F.col("t")).alias("v"), V.embed(F.concat("t", F.lit(""))).alias("w"))
+    within = even | F.forall("v", lambda x: (x >= 0) & (x < 1))
+    return both.select(F.col("doc_id").alias("id"), F.size("v").alias("dim"), F.when(even, F.col("v")[0].cast("double")).alias("first"), within.alias("within"), (F.col("v") == F.col("w")).alias("same"))
+
+
+@query("""SELECT n_nationkey AS id, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","half":' || (n_nationkey / 2)::DOUBLE::VARCHAR || ',"none":null,"blob":"' || rtrim(base64(encode(n_name)), '=') || '"}' AS row FROM nation""")
+def fn_json_rows(spark, d):
+    """Rows as JSON objects: numbers, texts, null and binary."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name", (F.col("n_nationkey") / 2).alias("half"), F.lit(None).cast("string").alias("none"), F.col("n_name").cast("binary").alias("blob"))
+    return jsons.json_rows(rows).select(F.get_json_object("row", "$.n_nationkey").cast("long").alias("id"), "row")
