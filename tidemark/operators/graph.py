@@ -2,8 +2,9 @@
 
 Items are cut into regions of about ``SUBGRAPH`` by their nearest centroid.  Each region links its items to their most
 similar ones, pruned for diversity, and is a folder of its own once written; a small table has each region's
-centroid and medoid.  A search reads the regions whose centroids are next to the query alone, walks each from its medoid and
-scores no node but those that it visits.
+centroid and reach.  A search reads the regions whose centroids are next to the query alone, walks each from its medoid and
+scores no node but those that it visits.  An exact search goes on from the walk's k-th score: it looks for better items in all
+regions but those whose reach rules them out, so its result is that of brute force.
 """
 
 from __future__ import annotations
@@ -27,29 +28,33 @@ NEAR = 0.98
 SUBGRAPH = 2048
 #: Items from which the regions' centroids are learned.
 SAMPLE = 100_000
+#: Walks and bounds are trusted to so many units of a score; the exact arithmetic of `search` decides within.
+SLACK = 1e-6
 
 
 class Graph(NamedTuple):
-    """nodes: part, n, id, vector, neighbours (numbers n of the same part), entry; regions: part, centroid."""
+    """nodes: part, n, id, vector, neighbours (numbers n of the same part), entry; regions: part, centroid, reach (the largest angle
+    between it and a vector of the region)."""
 
     nodes: DataFrame
     regions: DataFrame
 
 
-def prune(order: np.ndarray, similarity: np.ndarray, degree: int) -> list[int]:
-    """Of candidates by similarity downwards, those that no kept one makes redundant (similarity to it at least NEAR times
-    the candidate's own); filled up to half the degree with the nearest of the others."""
+def prune(similarity: np.ndarray, own: np.ndarray, degree: int) -> list[int]:
+    """Of candidates by similarity downwards (``own``; ``similarity`` is theirs among each other), the places of those that
+    no kept one makes redundant (similarity to it at least NEAR times the candidate's own); filled up to half the degree
+    with the nearest of the others."""
     kept: list[int] = []
-    for j in order:
-        if len(kept) >= degree:
-            break
-        if all(similarity[j, i] < NEAR * similarity[-1, j] for i in kept):
-            kept.append(int(j))
-    for j in order:
-        if len(kept) >= max(degree // 2, 1):
-            break
-        if int(j) not in kept:
-            kept.append(int(j))
+    free = np.ones(len(own), dtype=bool)
+    while len(kept) < degree and free.any():
+        j = int(free.argmax())
+        kept.append(j)
+        free &= similarity[:, j] < NEAR * own
+        free[: j + 1] = False
+    if len(kept) < (least := max(degree // 2, 1)):
+        others = np.ones(len(own), dtype=bool)
+        others[kept] = False
+        kept += np.flatnonzero(others)[: least - len(kept)].tolist()
     return kept
 
 
@@ -85,7 +90,7 @@ def build(items: DataFrame, settings: IndexSettings) -> DataFrame:
         for i in range(len(x)):
             near = np.argsort(-sim[i], kind="stable")
             near = near[near != i][: s.search_list]
-            for j in prune(near, np.vstack((sim, sim[i])), s.degree):
+            for j in near[prune(sim[np.ix_(near, near)], sim[i, near], s.degree)].tolist():
                 links[i].add(j)
                 links[j].add(i)
         medoid = int((sim @ np.ones(len(x))).argmax())
@@ -96,9 +101,17 @@ def build(items: DataFrame, settings: IndexSettings) -> DataFrame:
 
 
 def regions(nodes: DataFrame) -> DataFrame:
-    """(part, centroid): the mean direction of each region."""
-    parts = nodes.select("part", F.posexplode("vector").alias("i", "x")).groupBy("part", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return parts.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centroid"))
+    """(part, centroid, reach): the mean direction of each region, and how far its vectors are from it."""
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(frame["vector"].tolist(), dtype=np.float64)
+        centroid = x.mean(axis=0)
+        both = np.linalg.norm(x, axis=1) * np.linalg.norm(centroid)
+        # without a direction nothing is ruled out
+        reach = float(np.arccos(np.clip(x @ centroid / both, -1, 1)).max()) if both.min() > 0 else math.pi
+        return pd.DataFrame({"part": [key[0]], "centroid": [centroid], "reach": [reach]})
+
+    return nodes.select("part", "vector").groupBy("part").applyInPandas(run, "part int, centroid array<double>, reach double")
 
 
 def write(nodes: DataFrame, path: str) -> None:
@@ -117,8 +130,23 @@ def routed(graph: Graph, q: np.ndarray) -> list[int]:
     return sorted(score, key=lambda p: (-score[p], p))[: max(8, math.ceil(len(rows) / 5))]
 
 
-def topk(graph: Graph | DataFrame, query: Column, k: int, settings: IndexSettings) -> DataFrame:
-    """Best-first search of the regions next to the query, keeping the ``search_list`` best nodes of each."""
+def within(graph: Graph, q: np.ndarray, least: float) -> list[int]:
+    """The regions that may hold a vector whose similarity to the query is ``least`` or more."""
+    length, out = float(np.linalg.norm(q)), []
+    for r in graph.regions.collect():  # a row for each region
+        both = length * float(np.linalg.norm(r.centroid))
+        angle = math.acos(min(max(float(np.dot(r.centroid, q)) / both, -1), 1)) if both > 0 else 0.0
+        if math.cos(max(angle - r.reach, 0)) >= least:
+            out.append(r.part)
+    return out
+
+
+def topk(graph: Graph | DataFrame, query: Column, k: int, settings: IndexSettings, exact: bool = False) -> DataFrame:
+    """Best-first search of the regions next to the query, keeping the ``search_list`` best nodes of each.
+
+    With ``exact`` the k-th score of the walk is a bound that the nodes it has missed are held against, and all that is found
+    is ranked by `search.exact`: the k best items, of equal scores those with the smallest ids.
+    """
     s = settings.clamped()
     if isinstance(graph, DataFrame):
         graph = Graph(graph, regions(graph))
@@ -145,7 +173,15 @@ def topk(graph: Graph | DataFrame, query: Column, k: int, settings: IndexSetting
             done.add(i)
             best = sorted({*best, *map(int, neighbours.iloc[i])}, key=lambda j: (-score(j), j))[: max(s.search_list, k)]
         out = best[:k]
-        return pd.DataFrame({"id": frame["id"].iloc[out].to_numpy(), "score": [score(i) for i in out]})
-
-    hits = nodes.where(F.col("part").isin(routed(graph, q))).groupBy("part").applyInPandas(run, f"id {kind}, score double")
-    return search.top(hits, k)
+        return pd.DataFrame({"id": frame["id"].iloc[out].to_numpy(), "score": [score(i) for i in out], "vector": vectors.iloc[out].to_numpy()})
+
+    hits = nodes.where(F.col("part").isin(routed(graph, q))).groupBy("part").applyInPandas(run, f"id {kind}, score double, vector array<float>")
+    best = search.top(hits, k)
+    if not exact:
+        return best.select("id", "score")
+    walked = best.collect()  # k rows
+    least = walked[-1].score - SLACK if len(walked) == k else -math.inf
+    rest = nodes.where(F.col("part").isin(within(graph, q, least)) & ~F.col("id").isin([r.id for r in walked])).select("id", "vector")
+    missed = search.scores(rest, query).where(F.col("score") >= least).select("id", "vector")
+    known = nodes.sparkSession.createDataFrame([(r.id, r.vector) for r in walked], f"id {kind}, vector array<float>")
+    return search.exact(known.union(missed), query, k).select("id", "score")
